@@ -1,8 +1,10 @@
 """Registered queries of the training-data operators, and SQL for those that SQL can express."""
 
+from .media import op3_media
 from .mixing import OP6_SQL, op6_mix
 from .packing import op5_packing
 from .tokens import op7_token_counts
+from .warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_mix, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_media, op4_warc, op5_packing, op6_mix, op7_token_counts)}
 ORACLE = {"op6_mix": OP6_SQL}
