@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, packing
+from sparkloom.llm import linededup, mixing, neardup, packing, toxicity
 
 #: The stages sample by hash and learn from labels, and packing cuts and fills bins, which SQL can't express.
 ORACLE_SQL = None
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic leave; labels outside the held-out fold, whose documents are still there, are learned from."""
+    return toxicity.without_toxic(docs, toxicity.trained(spark, sf_dir, docs))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of alike lines only the first stays; documents stay, even without a line left."""
+    return linededup.dedup_lines(docs).select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.one_of_each(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -18,7 +32,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(spark, docs)
 
 
-STAGES = [("mix", mix_stage), ("packing", packing_stage)]
+STAGES = [("toxicity", toxicity_stage), ("line dedup", line_stage), ("near-dup", near_dup_stage), ("mix", mix_stage), ("packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
