@@ -37,12 +37,13 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def link(scratch: Scratch, keys: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def link(scratch: Scratch, keys: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 4) -> DataFrame:
     """(id, comp) of the ids that are linked to another; keys: (key, id), an id once for each of its keys.
 
     Two ids with a common key are candidates. Not all pairs of a key are formed: first every id meets the smallest of its
-    key only. Then, in keys whose ids are not yet all in one component, ids of different components meet; pairs inside a
-    component can't change it. So no link is lost, and a key with many alike ids costs as many pairs as it has ids.
+    key only; then, for some rounds while many pairs are left, those of other components meet another id of their key,
+    chosen by hash. At last, in keys whose ids are still not all in one component, ids of different components meet; pairs
+    inside a component can't change it. So no link is lost, and a key with many alike ids costs a few pairs for each.
     prepare gets the table of candidates' (id), and returns a function from pairs (a, b) to those that are links.
     """
     of_key = W.partitionBy("key")
@@ -52,13 +53,29 @@ def link(scratch: Scratch, keys: DataFrame, prepare: Callable[[DataFrame], Calla
     stars = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     edges = scratch.table(verify(stars).select("a", "b"), "star")
     comp = scratch.table(components(scratch, edges), "comp")
-    placed = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = placed.select("*", F.min("comp").over(of_key).alias("lo"), F.max("comp").over(of_key).alias("hi")).where("lo <> hi").select("key", "id", "lead", "comp")
-    open_ = scratch.table(open_, "open")
-    left = open_.where("id <> lead").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
+    for turn in range(rounds):
+        open_ = scratch.table(_open(shared, comp), "open")
+        # Pairs of different components, per key: half of the squared number of ids less those within components.
+        sizes = open_.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") ** 2).alias("within"))
+        r = sizes.agg(F.sum((F.col("n").cast("double") ** 2 - F.col("within")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
+        if not r["n"] or r["pairs"] <= 2 * r["n"]:
+            break
+        lead = F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).over(of_key)
+        pairs = open_.withColumn("lead", lead).where("lead.comp <> comp").select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct()
+        edges = scratch.table(edges.union(verify(pairs).select("a", "b")), "edges")
+        comp = scratch.table(components(scratch, edges), "comp")
+    open_ = scratch.table(_open(shared, comp), "open")
+    left = open_.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
     right = open_.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
     more = scratch.table(verify(scratch.table(pairs, "cross")).select("a", "b"), "more")
     if more.isEmpty():
         return comp
     return scratch.table(components(scratch, edges.union(more)), "comp")
+
+
+def _open(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, id, comp) of the keys whose ids are in more than one component."""
+    of_key = W.partitionBy("key")
+    placed = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    return placed.select("*", F.min("comp").over(of_key).alias("lo"), F.max("comp").over(of_key).alias("hi")).where("lo <> hi").select("key", "id", "comp")

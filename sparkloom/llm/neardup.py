@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
             near = scratch.table(near.where(agree >= SYMBOLS - DISTANCE).select("a", "b", "na", "nb"), "near")
             a, b = (full.select(F.col("id").alias(x), F.col("set").alias(f"set{x}")) for x in "ab")
             both = F.size(F.array_intersect("seta", "setb"))
-            return near.join(b, "b").join(a, "a").where(100 * both >= percent * (F.col("na") + F.col("nb") - both))
+            return near.join(b, "b").join(a, "a").where((100 + percent) * both >= percent * (F.col("na") + F.col("nb")))
 
         return verify
 
