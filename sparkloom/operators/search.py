@@ -11,18 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.text import postings, tokens
 
 
-def _times(words: str, term: Column) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
-
-
 def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.5, b: float = 0.75, require_all: bool = False) -> DataFrame:
-    """(doc_id, score, matched) of the documents with any (or all) of the terms; the terms are known when planning.
+    """(doc_id, score, matched) of the documents, told apart by id, with any (or all) of the terms.
 
-    Term frequencies come from one pass per document, so nothing of the index but the few statistics is shuffled.
+    Words are counted while they are split off, with partial sums before the shuffle: a row a document crosses it, never
+    the words; the one exchange serves the statistics and the scores.
     """
     wanted = [F.lit(t.lower()) for t in dict.fromkeys(terms)]
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    tf = words.select("doc_id", F.size("w").alias("len"), *[_times("w", t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    words = docs.select("doc_id", F.explode_outer(tokens(F.col("text"))).alias("w"))
+    tf = words.groupBy("doc_id").agg(F.count("w").alias("len"), *[F.count_if(F.col("w") == t).alias(f"tf{i}") for i, t in enumerate(wanted)])
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))])
     joined = tf.join(F.broadcast(stats))  # one row
     score, matched = F.lit(0.0), F.lit(0)
