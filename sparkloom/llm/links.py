@@ -41,7 +41,7 @@ def link(scratch: Scratch, keys: DataFrame, prepare: Callable[[DataFrame], Calla
     """(id, comp) of the ids that are linked to another; keys: (key, id), an id once for each of its keys.
 
     Two ids with a common key are candidates. Not all pairs of a key are formed: first every id meets the smallest of its
-    key only; then, for some rounds while many pairs are left, those of other components meet another id of their key,
+    key only; then, for some rounds while that settles many pairs, those of other components meet another id of their key,
     chosen by hash. At last, in keys whose ids are still not all in one component, ids of different components meet; pairs
     inside a component can't change it. So no link is lost, and a key with many alike ids costs a few pairs for each.
     prepare gets the table of candidates' (id), and returns a function from pairs (a, b) to those that are links.
@@ -53,13 +53,16 @@ def link(scratch: Scratch, keys: DataFrame, prepare: Callable[[DataFrame], Calla
     stars = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     edges = scratch.table(verify(stars).select("a", "b"), "star")
     comp = scratch.table(components(scratch, edges), "comp")
+    before = float("inf")
     for turn in range(rounds):
         open_ = scratch.table(_open(shared, comp), "open")
         # Pairs of different components, per key: half of the squared number of ids less those within components.
         sizes = open_.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") ** 2).alias("within"))
         r = sizes.agg(F.sum((F.col("n").cast("double") ** 2 - F.col("within")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        if not r["n"] or r["pairs"] <= 2 * r["n"]:
+        # Another round pays while ids have many partners left, and the last round settled half of them.
+        if not r["n"] or r["pairs"] <= 32 * r["n"] or r["pairs"] > before / 2:
             break
+        before = r["pairs"]
         lead = F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).over(of_key)
         pairs = open_.withColumn("lead", lead).where("lead.comp <> comp").select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct()
         edges = scratch.table(edges.union(verify(pairs).select("a", "b")), "edges")
