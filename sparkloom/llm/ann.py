@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, hash_sample, table
 
-SAMPLE, TABLES, CELL, BLOCK = 6_000, 2, 512, 4_096
+SAMPLE, TABLES, CELL, BLOCK = 6_000, 2, 2_048, 4_096
 
 
 def projections(dim: int, tables: int, m: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +160,14 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 least = np.take_along_axis(inner, best, 1).min(1)
                 for i, row in enumerate(inner):
                     for j in np.flatnonzero(row >= least[i] - 1e-12) if few < len(v) else range(len(v)):
-                        found += [(query[at + i], c) for c in ids[j] if c != query[at + i]]
-        return pd.DataFrame(found, columns=["query_id", "vec_id"]).astype("int64")
+                        found += [(query[at + i], c, row[j]) for c in ids[j] if c != query[at + i]]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "near"]).astype({"query_id": "int64", "vec_id": "int64", "near": "float64"})
 
     filed = scratch.table(filed.select("key", "block", "part", "ids", "v"), "blocked")
-    pairs = asked.select("key", "block", "part", "query_id", "q").groupBy("key", "block", "part").cogroup(filed.groupBy("key", "block", "part")).applyInPandas(compare, "query_id long, vec_id long")
-    pairs = pairs.distinct()
+    pairs = asked.select("key", "block", "part", "query_id", "q").groupBy("key", "block", "part").cogroup(filed.groupBy("key", "block", "part")).applyInPandas(compare, "query_id long, vec_id long, near double")
+    # A vector found by several tables counts once. A few more than k go on, as the products may still differ in the last bit.
+    found = W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("near").alias("near")).withColumn("r", F.row_number().over(found)).where(F.col("r") <= k + 5).select("query_id", "vec_id")
     vec = own.select(F.col("id").alias("vec_id"), "v")
     exact = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(vec, "vec_id")
     exact = exact.withColumn("score", F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).drop("q", "v")
