@@ -27,7 +27,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share
 
     Reached level by level, the targets are min(ceiling * size, level * weight) for the one level at which they add up.
     With the sources sorted by ceiling * size / weight, those before some point are at their ceilings; the level for each
-    such point comes from running sums, and the first that no later source exceeds is the one. There is one row per
+    such point comes from running sums, and the first that no later source exceeds is the one: it is the largest of those, as levels only fall behind it. There is one row per
     source here, so the windows without keys hold as many rows as there are sources.
     """
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -41,7 +41,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     s = s.withColumn("rest", F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing)))
     everything = W.partitionBy(F.lit(1))
     s = s.withColumn("level_here", (F.lit(float(share)) * F.sum("source_size").over(everything) - F.col("before")) / F.col("rest"))
-    s = s.withColumn("level", F.min(F.when(F.col("level_here") <= F.col("ratio"), F.col("level_here"))).over(everything))
+    s = s.withColumn("level", F.max(F.when(F.col("level_here") <= F.col("ratio"), F.col("level_here"))).over(everything))
     target = F.least(F.col("top"), F.coalesce(F.col("level") * F.col("w"), F.col("top")))
     s = s.select("source", "source_size", target.alias("target"))
     return s.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
@@ -90,7 +90,7 @@ c AS (SELECT *, COALESCE(SUM(top) OVER (ORDER BY ratio, source NULLS LAST ROWS B
   SUM(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
   SUM(source_size) OVER () AS everything FROM r),
 l AS (SELECT *, (1.5::DOUBLE * everything - before) / rest AS level_here FROM c),
-v AS (SELECT *, MIN(CASE WHEN level_here <= ratio THEN level_here END) OVER () AS level FROM l),
+v AS (SELECT *, MAX(CASE WHEN level_here <= ratio THEN level_here END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, LEAST(top, COALESCE(level * w, top)) AS target FROM v),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM t)
 SELECT d.doc_id, d.size, u.source_size, u.target,

@@ -90,7 +90,12 @@ def test_mixing_equals_its_sql(spark, sf, oracle):
     for c in ("doc_id", "size", "source_size", "taken"):
         assert (ours[c] == theirs[c]).all(), c
     assert np.allclose(ours["target"], theirs["target"])
-    assert (ours["taken"] <= 2 * ours["size"]).all()
+    assert (ours["taken"] <= 2 * ours["size"]).all() and (ours["taken"] >= 0).all()
+    by = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").toPandas().merge(ours, on="doc_id").groupby("source")
+    first = by[["source_size", "target"]].first()
+    total = ours["size"].sum()
+    assert np.isclose(first["target"].sum(), 1.5 * total) and (first["target"] <= 2 * first["source_size"] + 1e-6).all() and (first["target"] > 0).all()
+    assert abs(ours["taken"].sum() / total - 1.5) < 0.2
 
 
 def test_mixing_targets(spark):
