@@ -1,6 +1,6 @@
 """The query catalogue: importing this package registers every query."""
 
 from ..catalog import ORACLE, QUERIES
-from . import analytics, logic, search
+from . import analytics, logic, more, search
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "logic", "search"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "logic", "more", "search"]
