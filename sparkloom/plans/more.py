@@ -28,11 +28,11 @@ def largest_blocks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(20)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
 def orphaned_blocks(spark, sf):
     c = table(spark, sf, "customer")
-    free = c.join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    return free.join(table(spark, sf, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"), "left_anti").select("c_custkey")
+    free = c.join(table(spark, sf, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return free.join(table(spark, sf, "supplier").where("s_acctbal > 8000"), F.col("c_nationkey") == F.col("s_nationkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT sha256(text) AS cid, (COUNT(*) - 1) * MIN(length(text)) AS saved FROM documents GROUP BY 1 HAVING COUNT(*) > 1 ORDER BY saved DESC, cid LIMIT 20")
