@@ -9,8 +9,9 @@ The number of projections follows the number of vectors (about `cell` vectors to
 that reaches `recall` on a bounded sample of vectors, and so depends on how the vectors lie: where neighbours are hardly
 nearer than others, as among random directions of many dimensions, it comes close to visiting everything.
 
-Equal vectors are searched as one, with its `k + 1` smallest ids, which are all that can be returned. Cells with more than
-`block` vectors or queries are dealt out in blocks. Defined results: vectors null, zero, of another length than the first
+Equal vectors are searched as one, with its `k + 1` smallest ids, which are all that can be returned. Cells lie on shelves
+by hash, full cells in blocks on several; a task compares a shelf's vectors with a part of the queries that visit it, cell by
+cell, and passes on a query's best few of the whole shelf. Many visitors of a shelf are dealt out in parts. Defined results: vectors null, zero, of another length than the first
 found, or holding null or non-finite components take no part, as queries or candidates; a null id takes no part; rows that
 repeat an id with the same vector count once; an empty table gives an empty table.
 """
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, hash_sample, table
 
 SAMPLE, TABLES, CELL, BLOCK = 6_000, 2, 2_048, 4_096
+#: Vectors to a shelf, shelves at least, queries to a part of a shelf, queries compared at once, large cells or shelves at most.
+SHELF, SHELVES, QUERIES, CHUNK, LARGE = 65_536, 16, 2_048, 32, 100_000
 
 
 def projections(dim: int, tables: int, m: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +74,28 @@ def cell_keys(cells: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shelf_of(keys: np.ndarray, block: np.ndarray, shelves: int) -> np.ndarray:
+    return (mixed(mixed(keys).view(np.int64) + block) % np.uint64(shelves)).astype(np.int32)
+
+
+def best_few(products: np.ndarray, ids: np.ndarray, few: int) -> np.ndarray:
+    """Places of the `few` largest finite products; of those that tie with the last, as many with the smallest ids."""
+    there = np.flatnonzero(products > -np.inf)
+    if len(there) <= few:
+        return there
+    some = products[there]
+    least = np.partition(some, len(some) - few)[len(some) - few]
+    tie = there[np.abs(some - least) <= 1e-12]
+    return np.concatenate([there[some > least + 1e-12], tie[np.argsort(ids[tie], kind="stable")][:few]])
+
+
 def fit(sample: np.ndarray, n: int, k: int, recall: float, tables: int = TABLES, cell: int = CELL) -> dict:
     """Parameters from a bounded sample of usable vectors: probes enough for `recall` of the sample's own neighbours."""
     top = float(np.sqrt((sample**2).sum(1)).max())
@@ -129,6 +154,25 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             rows = np.repeat(np.arange(len(x)), tables)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(batch.column(i).take(pa.array(rows)) for i in range(3))], ["key", "rep", "v", "ids"])
 
+    filed = scratch.table(groups.select("rep", "v", "ids").mapInArrow(file, "key long, rep long, v array<double>, ids array<long>"), "filed")
+    # Cells lie on shelves by hash, full cells in blocks on several: no more than LARGE cells can be over this size.
+    full = max(BLOCK, n * tables // LARGE)
+    large = filed.groupBy("key").count().where(F.col("count") > full).orderBy("key").collect()
+    large_keys, large_blocks = np.array([r["key"] for r in large], np.int64), np.array([-(-r["count"] // full) for r in large], np.int64)
+    shelves = min(LARGE, max(SHELVES, ceil(n * tables / SHELF)))
+
+    def blocks_of(keys: np.ndarray) -> np.ndarray:
+        if not len(large_keys):
+            return np.ones(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(large_keys, keys), len(large_keys) - 1)
+        return np.where(large_keys[at] == keys, large_blocks[at], 1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            block = (mixed(rep) % blocks_of(keys).astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shelf_of(keys, block, shelves)), *(batch.column(i) for i in (0, 2, 3))], ["shelf", "key", "v", "ids"])
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = np.array(batch.column(1).to_pylist())
@@ -136,35 +180,55 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             for at in range(0, len(q), 256):
                 some = q[at : at + 256]
                 keys = np.concatenate([cell_keys(probes((some @ a[t] + b[t] * width) / width, visits)) ^ (t << 60) for t in range(tables)], 1)
-                rows = at + np.repeat(np.arange(len(some)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(batch.column(i).take(pa.array(rows)) for i in range(2))], ["key", "query_id", "q"])
+                row, key = np.repeat(np.arange(len(some)), keys.shape[1]), keys.ravel()
+                blocks = blocks_of(key)
+                row, key, block = np.repeat(row, blocks), np.repeat(key, blocks), np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                shelf = shelf_of(key, block, shelves)
+                order = np.lexsort((key, shelf, row))
+                row, shelf, key = row[order], shelf[order], key[order]
+                starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (shelf[1:] != shelf[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(key))
+                rows = pa.array(at + row[starts])
+                yield pa.RecordBatch.from_arrays([pa.array(shelf[starts]), *(batch.column(i).take(rows) for i in range(2)), lists], ["shelf", "query_id", "q", "keys"])
 
-    filed = scratch.table(groups.select("rep", "v", "ids").mapInArrow(file, "key long, rep long, v array<double>, ids array<long>"), "filed")
     queries = own.where(is_query).select("id", "v")
-    asked = queries.repartition(spark.sparkContext.defaultParallelism * 2, "id").mapInArrow(visit, "key long, query_id long, q array<double>")
-    # Full cells are dealt out in blocks of vectors, each visited by all of the cell's queries; so are queries, likewise.
-    blocks = scratch.table(filed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    asked = asked.join(blocks, "key")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(4)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    filed = filed.join(blocks.select("key", F.col("blocks").alias("n")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    asked = queries.repartition(spark.sparkContext.defaultParallelism * 2, "id").mapInArrow(visit, "shelf int, query_id long, q array<double>, keys array<long>")
+    asked = scratch.table(asked, "asked")
+    # A shelf meets its queries in parts of about QUERIES; there are LARGE shelves at most, so this table may be broadcast.
+    loads = F.broadcast(scratch.table(asked.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")), "loads"))
+    asked = asked.join(loads, "shelf").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
+    filed = filed.mapInArrow(place, "shelf int, key long, v array<double>, ids array<long>").join(loads, "shelf")
+    filed = filed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        """Of each query the best few of the shelf's cells that it visits, merged over those cells."""
+        found: list[tuple] = []
         if len(left) and len(right):
-            v, q = np.stack(right["v"].to_numpy()), np.stack(left["q"].to_numpy())
-            few = min(len(v), k + 1)
-            ids, query = right["ids"].to_numpy(), left["query_id"].to_numpy()
-            for at in range(0, len(q), 512):
-                inner = q[at : at + 512] @ v.T
-                best = np.argpartition(-inner, few - 1, axis=1)[:, :few]
-                least = np.take_along_axis(inner, best, 1).min(1)
-                for i, row in enumerate(inner):
-                    for j in np.flatnonzero(row >= least[i] - 1e-12) if few < len(v) else range(len(v)):
-                        found += [(query[at + i], c, row[j]) for c in ids[j] if c != query[at + i]]
+            right = right.sort_values("key", kind="stable")
+            v, ids = np.stack(right["v"].to_numpy()), right["ids"].to_numpy()
+            least_id = np.array([i[0] for i in ids])
+            cells, start = np.unique(right["key"].to_numpy(), return_index=True)
+            end = np.append(start[1:], len(v))
+            q, wanted, query = np.stack(left["q"].to_numpy()), left["keys"].to_numpy(), left["query_id"].to_numpy()
+            for at in range(0, len(q), CHUNK):
+                some = q[at : at + CHUNK]
+                hits = [np.flatnonzero(np.isin(cells, w)) for w in wanted[at : at + CHUNK]]
+                cell, row = np.concatenate(hits), np.repeat(np.arange(len(some)), [len(h) for h in hits])
+                visited = np.unique(cell)
+                if not len(visited):
+                    continue
+                member = np.concatenate([np.arange(start[c], end[c]) for c in visited])
+                inner, col = np.full((len(some), len(member)), -np.inf), 0
+                for c in visited:
+                    rows, to = row[cell == c], col + end[c] - start[c]
+                    inner[rows, col:to] = some[rows] @ v[start[c] : end[c]].T
+                    col = to
+                for i, products in enumerate(inner):
+                    for j in best_few(products, least_id[member], k + 1):
+                        found += [(query[at + i], c, products[j]) for c in ids[member[j]] if c != query[at + i]]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "near"]).astype({"query_id": "int64", "vec_id": "int64", "near": "float64"})
 
-    filed = scratch.table(filed.select("key", "block", "part", "ids", "v"), "blocked")
-    pairs = asked.select("key", "block", "part", "query_id", "q").groupBy("key", "block", "part").cogroup(filed.groupBy("key", "block", "part")).applyInPandas(compare, "query_id long, vec_id long, near double")
+    pairs = asked.groupBy("shelf", "part").cogroup(filed.groupBy("shelf", "part")).applyInPandas(compare, "query_id long, vec_id long, near double")
     # A vector found by several tables counts once. A few more than k go on, as the products may still differ in the last bit.
     found = W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("near").alias("near")).withColumn("r", F.row_number().over(found)).where(F.col("r") <= k + 5).select("query_id", "vec_id")

@@ -37,3 +37,21 @@ def test_odd_rows(spark):
     assert found[200] == want[200]
     assert ann.search(df.limit(0), "id % 20 = 0").count() == 0
     assert ann.search(df.where("vec_id = 20"), "id % 20 = 0").count() == 0
+
+
+def test_ties(spark):
+    """Unit vectors along the axes: almost all products are zero, and the smallest ids win."""
+    rows = [(i, [float(j == i % 64) for j in range(64)]) for i in range(400)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "id % 100 = 0").toPandas().sort_values(["query_id", "rank"])
+    want = truth(np.arange(400), np.array([r[1] for r in rows]))
+    found = got.groupby("query_id")["vec_id"].apply(list)
+    assert {0, 100, 200, 300} == set(found.index)
+    for q in found.index:
+        same = [i for i in range(400) if i % 64 == q % 64 and i != q]
+        assert found[q][: len(same)] == same[:20] == want[q][: len(same)]
+
+
+def test_best_few():
+    x = np.array([1.0, 3.0, 2.0, 2.0, 2.0, -np.inf, 0.0])
+    assert set(ann.best_few(x, np.array([9, 8, 7, 5, 6, 1, 2]), 2)) >= {1, 3}
+    assert len(ann.best_few(x, np.arange(7), 20)) == 6
