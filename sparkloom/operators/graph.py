@@ -75,3 +75,39 @@ def levels(edges: DataFrame) -> DataFrame:
         left = _cut(left.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
     return done if done is not None else nodes.limit(0).withColumn("level", F.lit(0))
+
+
+def least_costs(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, cost) of the cheapest way from a root over (src, dst, w), w >= 0: rounds relax only what got cheaper."""
+    known = new = _cut(roots.select("id").distinct().withColumn("cost", F.lit(0).cast(dict(edges.dtypes)["w"])))
+    e = edges.select("src", F.col("dst").alias("id"), "w")
+    while not new.isEmpty():
+        step = new.select(F.col("id").alias("src"), F.col("cost").alias("so_far")).join(e, "src").groupBy("id").agg(F.min(F.col("so_far") + F.col("w")).alias("cost"))
+        before = known.withColumnRenamed("cost", "was")
+        new = _cut(step.join(before, "id", "left").where("was IS NULL OR cost < was").select("id", "cost"))
+        known = _cut(known.union(new).groupBy("id").agg(F.min("cost").alias("cost")))
+    return known
+
+
+def fewest_hops(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, hops, path): a way of fewest edges from a root, the first in the order of its text if there are several."""
+    known = new = _cut(roots.select("id").distinct().select("id", F.lit(0).alias("hops"), F.col("id").cast("string").alias("path")))
+    e, n = edges.select("src", F.col("dst").alias("id")), 0
+    while not new.isEmpty():
+        n += 1
+        step = new.select(F.col("id").alias("src"), "path").join(e, "src").groupBy("id").agg(F.min(F.concat_ws(">", "path", F.col("id").cast("string"))).alias("path"))
+        new = _cut(step.join(known.select("id"), "id", "left_anti").select("id", F.lit(n).alias("hops"), "path"))
+        known = known.union(new)
+    return known
+
+
+def link_rank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
+    """(id, rank) after some rounds in which a node hands its rank in equal parts to those it links to."""
+    e = _cut(edges.select("src", "dst").join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "src"))
+    nodes = _cut(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
+    total = nodes.count()
+    rank = nodes.withColumn("rank", F.lit(1.0 / max(total, 1)))
+    for _ in range(rounds):
+        given = e.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("n")).alias("given"))
+        rank = _cut(nodes.join(given, "id", "left").select("id", (F.lit((1 - damping) / max(total, 1)) + damping * F.coalesce("given", F.lit(0.0))).alias("rank")))
+    return rank

@@ -54,3 +54,12 @@ def followed_by(events: DataFrame, first: str, then: str, within_s: int, key: st
     nxt = events.select(key, "event_id", "ts", "event_type", F.lead("event_id").over(w).alias("then_id"), F.lead("event_type").over(w).alias("t2"), F.lead("ts").over(w).alias("ts2"))
     ok = (F.col("event_type") == first) & (F.col("t2") == then) & (micros("ts2") - micros("ts") <= within_s * 1_000_000)
     return nxt.where(ok).select(key, F.col("event_id").alias("first_id"), "then_id")
+
+
+def run_of(events: DataFrame, types: list[str], within_s: int, key: str = "user_id") -> DataFrame:
+    """(key, event_id) of each event that begins an unbroken run of these types among the key's events, within_s from end to end."""
+    w = W.partitionBy(key).orderBy("ts", "event_id")
+    ahead = events.select(key, "event_id", "ts", *[F.lead("event_type", i).over(w).alias(f"t{i}") for i in range(len(types))], F.lead("ts", len(types) - 1).over(w).alias("last"))
+    for i, kind in enumerate(types):
+        ahead = ahead.where(F.col(f"t{i}") == kind)
+    return ahead.where(micros("last") - micros("ts") <= within_s * 1_000_000).select(key, "event_id")
