@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import corpus_pipeline
 from sparkloom.llm.common import Scratch
 
@@ -23,3 +25,22 @@ def test_stages(spark):
 def test_run_is_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_near_dup_stage_takes_five_words(spark):
+    """Against brute force, with pairs on either side of the threshold: at 5 changes 0.816 of runs of four, 0.774 of five."""
+    texts = {}
+    for i, changes in enumerate((1, 2, 3, 4, 5, 6, 9)):
+        words = [f"w{i}x{j}" for j in range(200)]
+        texts[2 * i] = " ".join(words)
+        for c in range(changes):
+            words[(2 * c + 1) * 200 // (2 * changes)] = f"v{i}x{c}"
+        texts[2 * i + 1] = " ".join(words)
+    runs = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    like = {(a, b): len(runs[a] & runs[b]) / len(runs[a] | runs[b]) for a, b in combinations(texts, 2)}
+    gone = {b for (a, b), x in like.items() if x >= 0.8}
+    assert gone == {1, 3, 5, 7} and 0.77 < like[8, 9] < 0.78
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = corpus_pipeline.near_dup_stage(spark, docs, "")
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == texts.keys() - gone
