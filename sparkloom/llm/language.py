@@ -3,8 +3,10 @@
 Training counts character trigrams, hashed into a fixed number of buckets, per language, on a bounded sample of labelled
 documents, and leaves a table of log-probabilities of bounded size. For a document, every word has a likelihood under each
 language (the product of its trigrams'); expectation-maximisation finds the proportions of languages that make its words
-likeliest. Languages are then dropped, least proportion first, as long as the penalised likelihood (log-likelihood minus
-`penalty` * languages * log(words) / 2) doesn't fall. The prediction is the language with the largest proportion left.
+likeliest. Of all learned languages, those are then dropped, least proportion first, whose loss doesn't lower the penalised
+likelihood (log-likelihood minus `penalty` * languages * log(words) / 2). Where there are many, several go at once if that
+costs no more likelihood than the penalty of a single one, so that each of them would go by itself too. The prediction is
+the language with the largest proportion left; all that are left are listed.
 
 Defined results: `und` and score 0 where the text is null or has no letters, or where there was nothing to learn from;
 repeated rows give repeated rows; a null id is not held out.
@@ -25,8 +27,6 @@ from .common import hash_sample, held_out, slices, table
 BUCKETS = 1 << 15
 #: The bound of the training sample, in documents.
 TRAIN_DOCS = 20_000
-#: Languages of one document that are followed up after the first rounds.
-TOP = 4
 _SPACE = 32
 
 
@@ -101,27 +101,30 @@ def proportions(texts: list[str], logp: np.ndarray, penalty: float = 2.0, rounds
     which, words = doc[start], np.diff([*start, len(doc)])
     many = lik.shape[1]
     pi, ll = _mixture(lik, start, words, np.full((len(start), many), 1.0 / many, np.float32), rounds)
-    size = np.full(len(start), many)
-    if many > TOP:
-        keep = np.argsort(-pi, axis=1)[:, :TOP]
-        mask = np.zeros_like(pi)
-        np.put_along_axis(mask, keep, 1, 1)
-        pi, ll = _mixture(lik, start, words, pi * mask / (pi * mask).sum(1, keepdims=True), 2)
-        size[:] = TOP
-    open_ = np.ones(len(start), bool)
-    for _ in range(min(many, TOP) - 1):
-        least = np.where(pi > 0, pi, np.inf).argmin(1)
-        fewer = pi.copy()
-        fewer[np.arange(len(pi)), least] = 0
-        left = fewer.sum(1, keepdims=True)
-        fewer = np.where(left > 0, fewer / np.maximum(left, 1e-30), pi)
-        fewer, ll2 = _mixture(lik, start, words, fewer, 3)
-        better = open_ & (size > 1) & (ll2 + penalty * np.log(words + 1) / 2 >= ll)
-        pi[better], ll[better] = fewer[better], ll2[better]
-        size[better] -= 1
-        open_ = better
-        if not open_.any():
-            break
+    size = (pi > 0).sum(1)
+    drop = np.maximum(size // 4, 1)
+    open_ = np.flatnonzero(size > 1)
+    while len(open_):
+        if len(open_) < len(start):
+            mine = np.zeros(len(start), bool)
+            mine[open_] = True
+            part, n = lik[np.repeat(mine, words)], words[open_]
+        else:
+            part, n = lik, words
+        now = pi[open_]
+        place = np.argsort(np.argsort(np.where(now > 0, now, np.inf), axis=1, kind="stable"), axis=1)
+        fewer = np.where(place < drop[open_, None], 0, now)
+        fewer, ll2 = _mixture(part, np.cumsum(n) - n, n, fewer / np.maximum(fewer.sum(1, keepdims=True), 1e-30), 3)
+        better = ll2 + penalty * np.log(n + 1) / 2 >= ll[open_]
+        shut = ~better & (drop[open_] == 1)
+        won = open_[better]
+        pi[won], ll[won] = fewer[better], ll2[better]
+        size = (pi > 0).sum(1)
+        lost = open_[~better]
+        drop[lost] //= 2
+        drop[won] = np.minimum(drop[won], size[won] // 4)
+        drop = np.maximum(drop, 1)
+        open_ = open_[~shut & (size[open_] > 1)]
     out[which] = pi
     return out
 
@@ -139,7 +142,7 @@ def identify(docs: DataFrame, names: list[str], logp: np.ndarray, id_col: str =
             for part in slices(batch, "text", 1 << 20):
                 p = proportions([t or "" for t in part.column(1).to_pylist()], logp)
                 order = np.argsort(-p, axis=1, kind="stable") if len(names) else np.zeros((len(p), 0), int)
-                langs = [[(names[j], float(row[j])) for j in o[:TOP] if row[j] > 0] for row, o in zip(p, order, strict=True)]
+                langs = [[(names[j], float(row[j])) for j in o if row[j] > 0] for row, o in zip(p, order, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x[0][0] if x else "und" for x in langs], pa.string()), pa.array([min(1.0, x[0][1]) if x else 0.0 for x in langs], pa.float64()), pa.array([[{"lang": a, "share": b} for a, b in x] for x in langs], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))],
                     ["doc_id", "lang_pred", "score", "langs"],

@@ -30,6 +30,24 @@ def test_language_mixture_and_odd_rows(spark):
     assert language.identify(odd.limit(0), names, logp).count() == 0
 
 
+def test_language_lists_all_that_a_document_mixes(spark):
+    """Nine languages are learned; documents mix one to nine of them, in equal parts or with a small one."""
+    heads = "ba ke mi do fu ga re si to".split()
+    names = [f"l{h}" for h in heads]
+    words = {n: [f"{h}{a}{h}{b}{h[::-1]}" for a in "bcdfg" for b in "klmnp"] for n, h in zip(names, heads, strict=True)}
+    docs = spark.createDataFrame([(i, " ".join(words[n]), n) for i, n in enumerate(names * 3)], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model[0] == sorted(names)
+    rows = [(k, " ".join(" ".join(words[n]) for n in names[:k])) for k in range(1, 10)]
+    rows.append((10, " ".join(" ".join(words[n]) * 1 if n == names[6] else " ".join(words[n] * 4) for n in names[:7])))
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), *model).collect()}
+    for k in range(1, 10):
+        assert sorted(x.lang for x in got[k].langs) == sorted(names[:k]), k
+        assert abs(got[k].score - 1 / k) < 0.03, k
+    assert sorted(x.lang for x in got[10].langs) == sorted(names[:7])
+    assert abs(min(x.share for x in got[10].langs) - 1 / 25) < 0.01
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in toxicity.op8_toxicity(spark, sf).collect()}
