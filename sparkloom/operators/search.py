@@ -82,3 +82,99 @@ def mmr(candidates: DataFrame, k: int, lam: float = 0.7) -> DataFrame:
         return pd.DataFrame({"query_id": pdf["query_id"][picked].to_numpy(), "id": pdf["id"][picked].to_numpy(), "pick": range(1, len(picked) + 1)})
 
     return candidates.groupBy("query_id").applyInPandas(run, "query_id long, id long, pick long")
+
+
+def nearest(rows: DataFrame, queries: DataFrame, metric: str = "cosine", k: int | None = 10, least: float | None = None, chunk: int = 32_768) -> DataFrame:
+    """(query, vec_id, score) of each query's k best rows, or of all rows scored `least` at least; both (vec_id, embedding).
+
+    Exact, by cosine, dot or l2 (smaller is better), rounded to six places, ties to the smaller id. A row isn't found by a
+    query of its own id. Every row meets every query in blocks: queries are broadcast in chunks of about `chunk`, and a task
+    keeps the k best of its rows for each query of a chunk, so no more than that goes into the shuffle. Null ids, null
+    vectors and those with a null component take no part, and vectors of different lengths don't meet; a vector of length
+    zero has cosine 0.
+    """
+    fit = "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)"
+    rows, queries = (d.select("vec_id", "embedding").where(fit) for d in (rows, queries))
+    parts = max(1, -(-queries.count() // chunk))
+    out = None
+    for i in range(parts):
+        asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i).toArrow()
+        found = rows.mapInArrow(_nearest_of(rows.sparkSession.sparkContext.broadcast(asked), metric, k, least), "query long, vec_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if k is None:
+        return out
+    w = W.partitionBy("query").orderBy(F.asc("score") if metric == "l2" else F.desc("score"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
+
+
+def _nearest_of(asked, metric: str, k: int | None, least: float | None):
+    import numpy as np
+    import pyarrow as pa
+
+    def by_length(batch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        v = batch.column(1)
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        sizes, ids = v.value_lengths().to_numpy(zero_copy_only=False), batch.column(0).to_numpy()
+        if not len(ids):
+            return {}
+        flat = v.flatten().to_numpy(zero_copy_only=False).astype(float)
+        return {int(n): (ids[(m := sizes == n)], flat[np.repeat(m, sizes)].reshape(m.sum(), n)) for n in np.unique(sizes)}
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+    def pairs(q, x, ids, xids, floor):
+        """(place of the query, id, goodness) of pairs that are no worse than floor and, where k is set, may be in the block's k best."""
+        if metric == "l2":
+            # Squares cancel where vectors are near, so they only choose; the distances come from differences.
+            qq, xx = (q * q).sum(1)[:, None], (x * x).sum(1)[None, :]
+            good, slack = -np.sqrt(np.maximum(qq + xx - 2 * q @ x.T, 0)), 1e-6 * (1 + np.sqrt(qq.max()) + np.sqrt(xx.max()))
+        else:
+            good, slack = (unit(q) @ unit(x).T if metric == "cosine" else q @ x.T), 0.0
+        if not slack:
+            good = np.round(good, 6)
+        good[ids[:, None] == xids[None, :]] = -np.inf
+        if k is not None and len(xids) > k and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.partition(good, len(xids) - k, axis=1)[:, len(xids) - k])
+        at, col = np.nonzero((good >= (floor - 2 * slack)[:, None]) & (good > -np.inf))
+        value = good[at, col]
+        if slack:
+            value = np.concatenate([np.zeros(0), *(-np.sqrt(((q[at[i : i + 65536]] - x[col[i : i + 65536]]) ** 2).sum(1)) for i in range(0, len(at), 65536))])
+            value = np.round(value, 6)
+        return at, xids[col], value
+
+    def rows_of(query, ids, good):
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(-good if metric == "l2" else good, pa.float64())], ["query", "vec_id", "score"])
+
+    def run(batches):
+        queries = by_length(asked.value)
+        worst = -np.inf if least is None else -least if metric == "l2" else least
+        empty = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+        # For each length and block of queries: the best so far, and what a row must reach to be among them.
+        best = {(n, b): [empty, np.full(len(q[0][b : b + 1024]), worst)] for n, q in queries.items() for b in range(0, len(q[0]), 1024)}
+        for batch in batches:
+            for n, (xids, x) in by_length(batch).items():
+                for b in range(0, len(queries[n][0]) if n in queries else 0, 1024):
+                    ids, q = (a[b : b + 1024] for a in queries[n])
+                    held = best[n, b]
+                    for j in range(0, len(xids), 2048):
+                        at, found, good = pairs(q, x[j : j + 2048], ids, xids[j : j + 2048], held[1])
+                        keep = good >= worst
+                        at, found, good = at[keep], found[keep], good[keep]
+                        if k is None:
+                            yield rows_of(ids[at], found, good)
+                            continue
+                        at, found, good = (np.concatenate(z) for z in zip(held[0], (at, found, good), strict=True))
+                        order = np.lexsort((found, -good, at))
+                        at, found, good = at[order], found[order], good[order]
+                        first = np.searchsorted(at, np.arange(len(ids) + 1))
+                        top = np.arange(len(at)) - first[at] < k
+                        full = np.flatnonzero(np.diff(first) >= k)
+                        held[1][full] = good[first[full] + k - 1]
+                        held[0] = (at[top], found[top], good[top])
+        if k is not None:
+            for (n, b), (held, _) in best.items():
+                yield rows_of(queries[n][0][b + held[0]], held[1], held[2])
+
+    return run

@@ -150,6 +150,31 @@ def knn_l2(spark, sf):
     return knn(spark, sf, V.l2, desc=False)
 
 
+_EVERY = "q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0)"
+
+
+def _batch(name, score, order="DESC", where="true", metric="cosine", k=10, least=None):
+    """Registers a search of every row whose id is divisible by 100, itself left out, against all rows."""
+
+    def f(spark, sf):
+        e = table(spark, sf, "embeddings")
+        return S.nearest(e.where(where), e.where("vec_id % 100 = 0"), metric, k, least)
+
+    f.__name__ = name
+    s = f"WITH {_EVERY}, s AS (SELECT query, vec_id, round({score}, 6) AS score FROM q, embeddings WHERE vec_id <> query AND {where})"
+    if k is None:
+        query(f"{s} SELECT query, vec_id, score FROM s WHERE score >= {least}")(f)
+    else:
+        query(f"{s}, r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score {order}, vec_id) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= {k}")(f)
+
+
+_batch("knn_batch", "list_cosine_similarity(q, embedding::DOUBLE[])")
+_batch("knn_batch_dot", "list_inner_product(q, embedding::DOUBLE[])", metric="dot")
+_batch("knn_batch_l2", "list_distance(q, embedding::DOUBLE[])", order="ASC", metric="l2")
+_batch("knn_batch_filtered", "list_cosine_similarity(q, embedding::DOUBLE[])", where="label IN (1, 2)")
+_batch("knn_batch_min_score", "list_cosine_similarity(q, embedding::DOUBLE[])", k=None, least=0.2)
+
+
 @query(f"WITH {_C} SELECT CAST(floor(round({_DOT} / ({_N1} * {_N2}), 6) * 10) AS BIGINT) AS bucket, COUNT(*) AS n FROM c, embeddings e WHERE e.label = c.label GROUP BY 1")
 def score_histogram(spark, sf):
     emb = table(spark, sf, "embeddings")
@@ -203,6 +228,14 @@ def mmr_rerank(spark, sf):
     return S.mmr(top.join(emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id"), 5)
 
 
+@query()
+def mmr_batch(spark, sf):
+    """The ten found for each query of knn_batch, reranked."""
+    e = table(spark, sf, "embeddings")
+    top = S.nearest(e, e.where("vec_id % 100 = 0")).select(F.col("query").alias("query_id"), F.col("vec_id").alias("id"), "score")
+    return S.mmr(top.join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id"), 5)
+
+
 @query("""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank, COALESCE(quality, 0) AS rel FROM documents LEFT JOIN labels USING (doc_id)),
 t AS (SELECT lang, SUM(rel) AS total FROM r GROUP BY lang),
 i AS (SELECT lang, SUM(1.0::DOUBLE / (ln(g + 1) / ln(2.0::DOUBLE))) AS ideal FROM t, LATERAL (SELECT unnest(range(1, 11)) AS g) WHERE g <= total GROUP BY lang)
