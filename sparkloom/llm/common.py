@@ -16,9 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,9 +39,10 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{name}{self.n}"
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "t", tasks: int | None = None) -> DataFrame:
+        """df, written and to be read again; tasks: at most so many files, where the rows are known to be few."""
         path = self.path(name)
-        df.write.parquet(path)
+        (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -52,6 +56,31 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of the set that bits_of() makes: its table has at most BITS / 64 rows, so it can be broadcast at any scale.
+BITS = 1 << 26
+
+
+def bits_of(keys: DataFrame, column: str) -> DataFrame:
+    """A set of hashed keys as rows (__word, __bits) of 64 bits: a million rows at most, whatever the number of keys."""
+    h = F.pmod(F.xxhash64(column), F.lit(BITS))
+    words = keys.select(F.floor(h / 64).cast("int").alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")).alias("b"))
+    return words.groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+
+
+def flagged(df: DataFrame, column: str, bits: DataFrame, name: str = "__maybe") -> DataFrame:
+    """df with a column that is true for all rows whose key is in the set, and for a few others; no shuffle of df."""
+    h = F.pmod(F.xxhash64(column), F.lit(BITS))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    hit = df.join(F.broadcast(bits), F.floor(h / 64).cast("int") == F.col("__word"), "left")
+    found = F.call_function("shiftrightunsigned", F.col("__bits"), F.pmod(h, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return hit.select(*own, F.coalesce(found, F.lit(False)).alias(name))
+
+
+def likely(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """The rows of df whose key is in the set, and a few others."""
+    return flagged(df, column, bits).where("__maybe").drop("__maybe")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,81 +4,111 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Rows of small tables to a task; ids to a block of a group; members from which on a group may get another lead.
+TASK_ROWS, BLOCK, LARGE = 50_000, 1_024, 64
+
+
+def _tasks(rows: int) -> int:
+    return 1 + rows // TASK_ROWS
+
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, comp) of every id in edges (a, b): comp is the smallest id reachable.
 
-    Large-star and small-star rounds alternate: each node's neighbours are hung on its smallest one. The edges at most
-    halve their depth's logarithm in number of rounds, never grow beyond one per node and round, and each round is a table
-    in the shared folder. A hub's rows are split by adaptive execution as a skewed join.
+    Large-star and small-star rounds alternate: each node's neighbours are hung on its smallest one, until every node hangs
+    on a root. Edges never grow beyond one per node and round, and each round is a table in the shared folder. A hub's rows
+    are split by adaptive execution as a skewed join.
     """
-    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = scratch.table(now, "edges", _tasks(edges.count()))
     while True:
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        r = ends.agg(F.sum("up").alias("n"), F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1)).alias("not_star")).first()
+        if not r["not_star"]:
+            break
+        tasks = _tasks(r["n"])
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.table(large.where("u <> v").distinct(), "large")
+        large = scratch.table(large.where("u <> v").distinct(), "large", tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        nxt = scratch.table(small.where("u <> v").distinct(), "small")
+        nxt = scratch.table(small.where("u <> v").distinct(), "small", tasks)
         scratch.drop(now, large)
         now = nxt
-        r = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == (r["n"], r["h"]):
-            break
-        state = (r["n"], r["h"])
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def link(scratch: Scratch, keys: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 4) -> DataFrame:
+def joined_components(scratch: Scratch, comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """comp (id, comp), as a table, after links (ca, cb) between its components or ids that are in none yet."""
+    if comp is not None and links.isEmpty():
+        return comp
+    more = scratch.table(components(scratch, links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "more")
+    if comp is None:
+        return more
+    to = more.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    moved = comp.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    out = scratch.table(moved.union(more.join(comp.select("id"), "id", "left_anti").select("id", "comp")), "comp")
+    scratch.drop(comp, more)
+    return out
+
+
+def link(scratch: Scratch, keys: DataFrame, items: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
     """(id, comp) of the ids that are linked to another; keys: (key, id), an id once for each of its keys.
 
-    Two ids with a common key are candidates. Not all pairs of a key are formed: first every id meets the smallest of its
-    key only; then, for some rounds while that settles many pairs, those of other components meet another id of their key,
-    chosen by hash. At last, in keys whose ids are still not all in one component, ids of different components meet; pairs
-    inside a component can't change it. So no link is lost, and a key with many alike ids costs a few pairs for each.
-    prepare gets the table of candidates' (id), and returns a function from pairs (a, b) to those that are links.
+    Two ids with a common key are candidates. items gets the table of candidates' (id) and returns (id, p) with what a
+    comparison needs; alike(a, b) is the condition on two such p; confirm, where alike lets more than links through, keeps of
+    pairs (a, b, ...) those that are links.
+
+    Each key has its smallest id as lead, and all ids of the keys that share a lead form one group: so a family of alike ids,
+    whose keys mostly have the same lead, meets once and not once a key. First every id is compared with its leads only. In
+    groups that then still hold several components, ids of different components are compared, block by block, inside the
+    join's condition; pairs inside a component can't change it. Before, large groups whose lead has few alike get another
+    lead, chosen by hash, while that settles pairs. So no link is lost, copies cost one comparison each, and only links leave
+    a join; the comparisons within a family whose ids are nearly but not quite alike still grow with its square.
     """
-    of_key = W.partitionBy("key")
-    shared = keys.select("key", "id", F.min("id").over(of_key).alias("lead"), F.max("id").over(of_key).alias("last")).where("lead <> last").select("key", "id", "lead")
-    shared = scratch.table(shared, "shared")
-    verify = prepare(scratch.table(shared.select("id").distinct(), "ids"))
-    stars = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    edges = scratch.table(verify(stars).select("a", "b"), "star")
-    comp = scratch.table(components(scratch, edges), "comp")
+    heads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
+    met = scratch.table(keys.join(heads, "key").select("lead", "id").distinct(), "met")
+    ids = scratch.table(met.select("id").distinct(), "ids")
+    rows = scratch.table(met.join(items(ids), "id").select("lead", "id", "p"), "rows")
+    leads = rows.where("id = lead").select("lead", F.col("p").alias("q"))
+    star = rows.where("id <> lead").join(leads, "lead").where(alike("q", "p")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    star = scratch.table(star, "star")
+    edges = star if confirm is None else scratch.table(confirm(star), "edges")
+    comp = joined_components(scratch, None, edges.select(F.col("a").alias("ca"), F.col("b").alias("cb")))
+    scratch.drop(star, edges, ids)
     before = float("inf")
-    for turn in range(rounds):
-        open_ = scratch.table(_open(shared, comp), "open")
-        # Pairs of different components, per key: half of the squared number of ids less those within components.
-        sizes = open_.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") ** 2).alias("within"))
-        r = sizes.agg(F.sum((F.col("n").cast("double") ** 2 - F.col("within")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        # Another round pays while ids have many partners left, and the last round settled half of them.
-        if not r["n"] or r["pairs"] <= 32 * r["n"] or r["pairs"] > before / 2:
+    for turn in range(rounds + 1):
+        placed = scratch.table(met.join(comp, "id", "left").select("lead", "id", F.coalesce("comp", "id").alias("comp")), "placed")
+        per = placed.groupBy("lead", "comp").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("id") == F.col("lead")).cast("int")).alias("own"))
+        groups = per.groupBy("lead").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("within"), F.sum(F.col("n") * F.col("own")).alias("near"), F.count(F.lit(1)).alias("comps"))
+        groups = scratch.table(groups.where("comps > 1").withColumn("hubless", F.expr(f"n >= {LARGE} AND 3 * near < n")), "groups")
+        r = groups.where("hubless").agg(F.sum((F.col("n").cast("double") ** 2 - F.col("within")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
+        if turn == rounds or not r["n"] or r["pairs"] <= 32 * r["n"] or r["pairs"] > before / 2:
             break
         before = r["pairs"]
-        lead = F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).over(of_key)
-        pairs = open_.withColumn("lead", lead).where("lead.comp <> comp").select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct()
-        edges = scratch.table(edges.union(verify(pairs).select("a", "b")), "edges")
-        comp = scratch.table(components(scratch, edges), "comp")
-    open_ = scratch.table(_open(shared, comp), "open")
-    left = open_.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    more = scratch.table(verify(scratch.table(pairs, "cross")).select("a", "b"), "more")
-    if more.isEmpty():
-        return comp
-    return scratch.table(components(scratch, edges.union(more)), "comp")
-
-
-def _open(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, id, comp) of the keys whose ids are in more than one component."""
-    of_key = W.partitionBy("key")
-    placed = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    return placed.select("*", F.min("comp").over(of_key).alias("lo"), F.max("comp").over(of_key).alias("hi")).where("lo <> hi").select("key", "id", "comp")
+        some = rows.join(placed.join(groups.where("hubless").select("lead"), "lead"), ["lead", "id"])
+        other = some.groupBy("lead").agg(F.min_by(F.struct("id", "comp", "p"), F.xxhash64("id", F.lit(turn))).alias("o"))
+        pairs = some.join(other, "lead").where(F.col("o.comp") != F.col("comp")).where(alike("o.p", "p"))
+        pairs = pairs.select(F.least("o.id", "id").alias("a"), F.greatest("o.id", "id").alias("b"), F.col("o.comp").alias("ca"), F.col("comp").alias("cb")).distinct()
+        found = scratch.table(pairs if confirm is None else confirm(scratch.table(pairs, "pairs")), "found")
+        comp = joined_components(scratch, comp, found)
+        scratch.drop(placed, groups)
+    # A group's ids lie in blocks; each two blocks, and each block with itself, meet once.
+    open_ = placed.join(groups.select("lead", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lead")
+    open_ = scratch.table(rows.join(open_, ["lead", "id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "open")
+    scratch.drop(rows, met, placed, groups)
+    left = open_.select("lead", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("p").alias("q"))
+    right = open_.select("lead", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("comp").alias("cb"), "p")
+    pairs = left.join(right, ["lead", "i", "j"]).where("ca <> cb AND (i < j OR a < b)").where(alike("q", "p"))
+    pairs = scratch.table(pairs.select("a", "b", "ca", "cb").dropDuplicates(["a", "b"]), "pairs")
+    found = pairs if confirm is None else scratch.table(confirm(pairs), "found")
+    out = joined_components(scratch, comp, found)
+    scratch.drop(open_, pairs, found)
+    return out
