@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Rows of small tables to a task; ids to a block of a group; members from which on a group may get another lead.
-TASK_ROWS, BLOCK, LARGE = 50_000, 1_024, 64
+TASK_ROWS, BLOCK, LARGE = 50_000, 512, 64
 
 
 def _tasks(rows: int) -> int:
@@ -59,12 +59,12 @@ def joined_components(scratch: Scratch, comp: DataFrame | None, links: DataFrame
     return out
 
 
-def link(scratch: Scratch, keys: DataFrame, items: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
+def link(scratch: Scratch, keys: DataFrame, items: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column], ready: Callable[[str], Column] | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
     """(id, comp) of the ids that are linked to another; keys: (key, id), an id once for each of its keys.
 
     Two ids with a common key are candidates. items gets the table of candidates' (id) and returns (id, p) with what a
-    comparison needs; alike(a, b) is the condition on two such p; confirm, where alike lets more than links through, keeps of
-    pairs (a, b, ...) those that are links.
+    comparison needs; alike(a, b) is the condition on two such p; ready makes, behind the shuffle and once a row, of p what
+    alike takes; confirm, where alike lets more than links through, keeps of pairs (a, b, ...) those that are links.
 
     Each key has its smallest id as lead, and all ids of the keys that share a lead form one group: so a family of alike ids,
     whose keys mostly have the same lead, meets once and not once a key. First every id is compared with its leads only. In
@@ -77,9 +77,19 @@ def link(scratch: Scratch, keys: DataFrame, items: Callable[[DataFrame], DataFra
     met = scratch.table(keys.join(heads, "key").select("lead", "id").distinct(), "met")
     ids = scratch.table(met.select("id").distinct(), "ids")
     rows = scratch.table(met.join(items(ids), "id").select("lead", "id", "p"), "rows")
-    leads = rows.where("id = lead").select("lead", F.col("p").alias("q"))
-    star = rows.where("id <> lead").join(leads, "lead").where(alike("q", "p")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    star = scratch.table(star, "star")
+
+    def dealt(df: DataFrame, p: str, *by: str) -> DataFrame:
+        return df if ready is None else df.repartition(*by).withColumn(p, ready(p))
+
+    # The members of a large group meet a copy of their lead in parts.
+    parts = F.ceil(F.count(F.lit(1)) / (8 * BLOCK)).cast("int")
+    leads = rows.where("id = lead").join(met.groupBy("lead").agg(parts.alias("parts")), "lead")
+    sizes = leads.where("parts > 1").select("lead", "parts")
+    leads = leads.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("p").alias("q"))
+    others = rows.where("id <> lead").join(sizes, "lead", "left")
+    others = others.select("lead", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "id", "p")
+    star = dealt(others, "p", "lead", "part").join(dealt(leads, "q", "lead", "part"), ["lead", "part"]).where(alike("q", "p"))
+    star = scratch.table(star.select(F.col("lead").alias("a"), F.col("id").alias("b")), "star")
     edges = star if confirm is None else scratch.table(confirm(star), "edges")
     comp = joined_components(scratch, None, edges.select(F.col("a").alias("ca"), F.col("b").alias("cb")))
     scratch.drop(star, edges, ids)
@@ -95,8 +105,9 @@ def link(scratch: Scratch, keys: DataFrame, items: Callable[[DataFrame], DataFra
         before = r["pairs"]
         some = rows.join(placed.join(groups.where("hubless").select("lead"), "lead"), ["lead", "id"])
         other = some.groupBy("lead").agg(F.min_by(F.struct("id", "comp", "p"), F.xxhash64("id", F.lit(turn))).alias("o"))
-        pairs = some.join(other, "lead").where(F.col("o.comp") != F.col("comp")).where(alike("o.p", "p"))
-        pairs = pairs.select(F.least("o.id", "id").alias("a"), F.greatest("o.id", "id").alias("b"), F.col("o.comp").alias("ca"), F.col("comp").alias("cb")).distinct()
+        pairs = some.join(other, "lead").where(F.col("o.comp") != F.col("comp")).withColumn("q", F.col("o.p"))
+        pairs = pairs if ready is None else pairs.withColumns({"p": ready("p"), "q": ready("q")})
+        pairs = pairs.where(alike("q", "p")).select(F.least("o.id", "id").alias("a"), F.greatest("o.id", "id").alias("b"), F.col("o.comp").alias("ca"), F.col("comp").alias("cb")).distinct()
         found = scratch.table(pairs if confirm is None else confirm(scratch.table(pairs, "pairs")), "found")
         comp = joined_components(scratch, comp, found)
         scratch.drop(placed, groups)
@@ -106,7 +117,7 @@ def link(scratch: Scratch, keys: DataFrame, items: Callable[[DataFrame], DataFra
     scratch.drop(rows, met, placed, groups)
     left = open_.select("lead", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("p").alias("q"))
     right = open_.select("lead", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("comp").alias("cb"), "p")
-    pairs = left.join(right, ["lead", "i", "j"]).where("ca <> cb AND (i < j OR a < b)").where(alike("q", "p"))
+    pairs = dealt(left, "q", "lead", "i", "j").join(dealt(right, "p", "lead", "i", "j"), ["lead", "i", "j"]).where("ca <> cb AND (i < j OR a < b)").where(alike("q", "p"))
     pairs = scratch.table(pairs.select("a", "b", "ca", "cb").dropDuplicates(["a", "b"]), "pairs")
     found = pairs if confirm is None else scratch.table(confirm(pairs), "found")
     out = joined_components(scratch, comp, found)

@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         both, n = F.size(F.array_intersect("seta", "setb")), F.size("seta") + F.size("setb")
         return pairs.join(b, "b").join(a, "a").where((100 + percent) * both >= percent * n).select(pairs.columns)
 
-    comp = link(scratch, index_keys(classes), items, lambda a, b: alike(a, b, percent), confirm)
+    comp = link(scratch, index_keys(classes), items, lambda a, b: alike(a, b, percent), confirm=confirm)
     scratch.drop(*full)
     placed = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     # Rows meet their class's component by the set's hashes; only classes with news for a row take part, salted.

@@ -94,6 +94,9 @@ def test_near_dup_recall_at_the_threshold(spark):
     assert all(got[2 * i + 1] == 2 * i for i in range(300))
 
 
+WHITE = " \t\r\x0b\x0c"
+
+
 def line_set(line):
     return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
 
@@ -103,8 +106,8 @@ def brute_lines(rows):
     first = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
         for p, raw in enumerate((t or "").split("\n")):
-            if raw.strip(" "):
-                first.setdefault(raw.strip(" "), (d, p))
+            if raw.strip(WHITE):
+                first.setdefault(raw.strip(WHITE), (d, p))
     names = {line: i for i, line in enumerate(first)}
     sets = {i: line_set(line) for line, i in names.items()}
     comp = grouped(brute(sets), sets)
@@ -112,7 +115,7 @@ def brute_lines(rows):
     for line, at in first.items():
         c = comp[names[line]]
         keep[c] = min(at, keep.get(c, at))
-    return {d: None if t is None else "\n".join(raw for p, raw in enumerate(t.split("\n")) if not raw.strip(" ") or keep[comp[names[raw.strip(" ")]]] == (d, p)) for d, t in rows}
+    return {d: None if t is None else "\n".join(raw for p, raw in enumerate(t.split("\n")) if not raw.strip(WHITE) or keep[comp[names[raw.strip(WHITE)]]] == (d, p)) for d, t in rows}
 
 
 def test_lines_equal_brute_force(spark, sf):
