@@ -1,6 +1,6 @@
 """The query catalogue: importing this package registers every query."""
 
 from ..catalog import ORACLE, QUERIES
-from . import analytics, extended, logic, more, search
+from . import analytics, extended, logic, more, retrieval, search, textual
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "extended", "logic", "more", "search"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "extended", "logic", "more", "retrieval", "search", "textual"]
