@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, table
+from .common import Scratch, bits_of, flagged, slices, table
 
 ROLL, GAP, READ = 64 << 20, 64 << 10, 8 << 20
 SALTS = 16
@@ -29,33 +29,34 @@ INDEX = "page_id long, file string, offset long, length long, url string, payloa
 
 
 def bare_digest(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return as_base32(hashlib.sha1(payload).hexdigest())
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_digest) of each row; the payload is the html's UTF-8, empty for null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "html"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bare_digest((h or "").encode()) for h in part.column(1).to_pylist()], pa.string())], ["page_id", "payload_digest"])
-
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, payload_digest string")
+def as_base32(sha: str) -> str:
+    return base64.b32encode(bytes.fromhex(sha)).decode()
 
 
-def first_of_equal(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the rows whose payload equals that of a smaller page_id and has at least `least` bytes.
+def with_first(pages: DataFrame, least: int = 0) -> DataFrame:
+    """pages (page_id, url, html) with sha (hexadecimal, of the html's UTF-8, empty for null) and refers_to: the smallest
+    page_id with that payload, for other rows of at least `least` bytes, else null.
 
-    The smallest id per digest is an aggregate with map-side combination. Only digests that occur under several ids are
-    joined back, salted, so that a payload shared by a third of all pages is spread over tasks. A null page_id revisits
-    the smallest id there is. Rows that repeat a page_id agree with each other.
+    The smallest id per payload is an aggregate with map-side combination. Pages whose payload occurs once pass by a set of
+    the repeated ones and aren't shuffled; the others meet their first id, salted, so that a payload shared by a third of
+    all pages is spread over tasks. A row is told by page_id and payload: rows equal in both are alike responses or
+    revisits, rows of one page_id with other payloads are pages of their own, and a null page_id revisits the smallest id
+    there is; where there is none, all are responses.
     """
-    d = digests(pages if least <= 0 else pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least))
-    first = d.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL")
-    first = first.select(F.col("payload_digest").alias("d"), "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    salted = d.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    hit = salted.join(first, (F.col("payload_digest") == F.col("d")) & (F.col("salt") == F.col("s")))
-    return hit.where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", F.col("first_id").alias("refers_to")).distinct()
+    scratch = Scratch(pages.sparkSession, "warcfirst")
+    own = pages.withColumn("sha", F.sha1(F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))))
+    sums = own if least <= 0 else own.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least)
+    first = sums.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL")
+    first = scratch.table(first.select(F.col("sha").alias("__sha"), "first_id"), "first")
+    marked = flagged(own, "sha", scratch.table(bits_of(first, "__sha"), "bits"), "__again")
+    salted = first.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = marked.where("__again").withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    met = some.join(salted, (F.col("sha") == F.col("__sha")) & (F.col("__salt") == F.col("__s")), "left")
+    met = met.select("page_id", "url", "html", "sha", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    return marked.where("NOT __again").select("page_id", "url", "html", "sha", F.lit(None).cast("long").alias("refers_to")).unionByName(met)
 
 
 def _header(kind: str, page_id, url: str | None, digest: str, refers_to, body: int) -> bytes:
@@ -75,7 +76,7 @@ def _member(data: bytes) -> bytes:
 
 
 def write(pages: DataFrame, root: str, roll: int = ROLL) -> DataFrame:
-    """Writes a record for each (page_id, url, html, refers_to) and returns the index. Keep the result in a table."""
+    """Writes a record for each (page_id, url, html, sha, refers_to) and returns the index. Keep the result in a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
@@ -86,9 +87,9 @@ def write(pages: DataFrame, root: str, roll: int = ROLL) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "html"):
                 rows = []
-                for page_id, url, html, refers_to in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                for page_id, url, html, sha, refers_to in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
                     body = (html or "").encode()
-                    digest, kind = bare_digest(body), "response" if refers_to is None else "revisit"
+                    digest, kind = as_base32(sha), "response" if refers_to is None else "revisit"
                     stored = body if kind == "response" else b""
                     record = _member(_header(kind, page_id, url, digest, refers_to, len(stored)) + stored + b"\r\n\r\n")
                     if out is None or at + len(record) > roll and at:
@@ -104,7 +105,7 @@ def write(pages: DataFrame, root: str, roll: int = ROLL) -> DataFrame:
         if out is not None:
             out.close()
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, INDEX)
+    return pages.select("page_id", "url", "html", "sha", "refers_to").mapInArrow(run, INDEX)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -181,14 +182,12 @@ def read(index: DataFrame, root: str, block: int = 64 << 20) -> DataFrame:
 def archive(spark: SparkSession, pages: DataFrame, root: str | None = None, least: int = 0) -> tuple[DataFrame, str]:
     """Writes all pages under root (by default in the shared folder); the index, as a table, and the root.
 
-    html crosses the network once, to meet its row's decision; revisits leave without their payload.
+    Only pages whose payload occurs again cross the network; revisits leave without their payload.
     """
     scratch = Scratch(spark, "warc")
     root = root or scratch.path("archive")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    refers = first_of_equal(own, least).select(F.col("page_id").alias("__page"), "refers_to")
-    joined = own.join(refers, F.col("page_id").eqNullSafe(F.col("__page")), "left")
-    return scratch.table(write(joined, root), "index"), root
+    return scratch.table(write(with_first(own, least), root), "index"), root
 
 
 def resolved(records: DataFrame) -> DataFrame:

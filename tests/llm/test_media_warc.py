@@ -75,7 +75,9 @@ def expected(rows):
 def test_warc(spark, sf, tmp_path):
     key = lambda r: tuple(-9 if x is None else x for x in r)
     odd = [(3, "u", "same"), (1, "u1", "same"), (2, None, None), (5, "http://e x\r\nX: 1", ""), (7, "u", "<é>\r\n\r\nWARC/1.1"), (7, "u", "<é>\r\n\r\nWARC/1.1"), (None, "n", "same"), (8, "v", "x" * 300_000), (9, "v", "same")]
-    for rows in (odd, [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]):
+    lost = [(None, "a", "twice"), (None, "b", "twice"), (None, "c", "once"), (1, "d", "p"), (2, "e", "p"), (1, "f", "q"), (1, "g", "r"), (4, "h", "q")]
+    nobody = [(None, "a", "twice"), (None, "b", "twice")]
+    for rows in (odd, lost, nobody, [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]):
         d = tmp_path / str(len(rows))
         spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS refers_to", "2 AS length").write.parquet(f"{d}/pages.parquet")
         got = [(-1 if r.page_id is None else r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op4_warc(spark, str(d)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
