@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, Scratch, table
 
 SEED = "mix-1"
+#: Sources up to which their table is broadcast.
+SOURCES = 100_000
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
@@ -28,7 +30,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     Reached level by level, the targets are min(ceiling * size, level * weight) for the one level at which they add up.
     With the sources sorted by ceiling * size / weight, those before some point are at their ceilings; the level for each
     such point comes from running sums, and the first that no later source exceeds is the one: it is the largest of those, as levels only fall behind it. There is one row per
-    source here, so the windows without keys hold as many rows as there are sources.
+    source here, so the windows without keys, in one task, hold as many rows as there are sources: some millions at most.
     """
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     names = W.orderBy(F.col("source").asc_nulls_last())
@@ -53,32 +55,37 @@ def unit_hash(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
-    """Every row of docs with mix_size, mix_source_size, mix_target and mix_copies beside its own columns.
+def words(text_col: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
-    The table of sources is small by nature (one row each); Spark broadcasts it where its size allows and otherwise joins
-    by shuffling, with a hot source split by adaptive execution.
+
+def copies(docs: DataFrame, sizes: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
+    """Every row of docs with mix_source_size, mix_target and mix_copies beside its own columns; sizes: (source, size) of each row.
+
+    There is one row a source in what docs meet. It is counted, and broadcast up to SOURCES rows; beyond, docs are shuffled
+    by source, with a hot source split by adaptive execution.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    targets = source_targets(docs.select(F.col(source_col).alias("source"), size.alias("size")), **how)
+    targets = Scratch(docs.sparkSession, "mix").table(source_targets(sizes, **how))
     t = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("__rate"))
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
-    joined = docs.select(*own, size.alias("mix_size")).join(t, F.col(source_col).eqNullSafe(F.col("__source")), "inner")
+    t = F.broadcast(t) if targets.count() <= SOURCES else t
+    joined = docs.join(t, F.col(source_col).eqNullSafe(F.col("__source")), "inner")
     whole = F.floor("__rate")
     extra = (unit_hash(F.col(id_col), seed) < F.col("__rate") - whole).cast("long")
     return joined.withColumn("mix_copies", whole + extra).drop("__source", "__rate")
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixture: each row of docs as many times as it is taken, with its own columns."""
-    out = copies(docs, **how)
-    out = out.where(F.col("mix_copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mixture: each row of docs as many times as it is taken, with its own columns, whatever their names."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = copies(rows, docs.select(F.col(source_col).alias("source"), words(text_col).alias("size")), "id", **how)
+    out = out.where("mix_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+    docs = Scratch(spark, "mixsizes").table(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size")))
+    out = copies(docs, docs.select("source", "size"))
+    return out.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"))
 
 
 OP6_SQL = """

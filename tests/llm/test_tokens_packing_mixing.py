@@ -101,7 +101,7 @@ def test_mixing_equals_its_sql(spark, sf, oracle):
 def test_mixing_targets(spark):
     rows = [(i, "w " * 10, s) for i, s in enumerate(["a"] * 50 + ["b"] * 2 + ["c"] * 8 + [None] * 5)] + [(99, None, "d"), (None, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' AS mix_size")
-    out = mixing.copies(docs)
+    out = mixing.copies(docs, docs.select("source", mixing.words().alias("size")))
     t = {r.source: (r.mix_source_size, r.mix_target) for r in out.collect()}
     total = 650
     assert sum(v[1] for v in t.values()) == pytest.approx(1.5 * total)
