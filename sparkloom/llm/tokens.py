@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-#: Entries that a worker's memo holds before it starts anew.
-MEMO = 300_000
+#: Entries that a worker's memo holds before it starts anew, and characters of an entry; longer ones are worked out each time.
+MEMO, LONGEST = 300_000, 256
 _DIRTY = 1 << 40
 
 
@@ -68,6 +68,7 @@ def whole_tokens(path: str) -> list[str]:
 class PartCounts(dict):
     """Tokens of ' ' + part, for parts that don't end in white space; _DIRTY for the others, which must not be split off."""
 
+    # Fixed value: the tokenizer's own split pattern.
     PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
     def __init__(self, path: str, whole: list[str]):
@@ -78,9 +79,11 @@ class PartCounts(dict):
     def __missing__(self, part: str) -> int:
         if not part or part[-1].isspace():
             return _DIRTY
-        if len(self) > MEMO:
-            self.clear()
-        n = self[part] = self.count(" " + part)
+        n = self.count(" " + part)
+        if len(part) <= LONGEST:
+            if len(self) > MEMO:
+                self.clear()
+            self[part] = n
         return n
 
     def count(self, text: str) -> int:
@@ -94,9 +97,11 @@ class PartCounts(dict):
                 continue
             n = self.merged.get(piece)
             if n is None:
-                if len(self.merged) > MEMO:
-                    self.merged.clear()
-                n = self.merged[piece] = len(self.model.tokenize(as_bytes(piece)))
+                n = len(self.model.tokenize(as_bytes(piece)))
+                if len(piece) <= LONGEST:
+                    if len(self.merged) > MEMO:
+                        self.merged.clear()
+                    self.merged[piece] = n
             total += n
         return total
 
@@ -107,13 +112,15 @@ class PartCounts(dict):
             if n < _DIRTY:
                 return n
         # Runs of white space: parts that end in it stay together with the next.
-        total, held = 0, first
+        total, held, end = 0, [first], first[-1:]
         for part in parts:
-            if not held or held[-1].isspace():
-                held = f"{held} {part}"
+            if not end or end.isspace():
+                held.append(part)
             else:
-                total += self.count(held)
-                held = f" {part}"
+                total += self.count(" ".join(held))
+                held = ["", part]
+            end = part[-1] if part else " "
+        held = " ".join(held)
         return total + (self.count(held) if held else 0)
 
 
@@ -156,9 +163,11 @@ class PartIds(dict):
         self.model = self.tok.model
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
-        ids = self[part] = self.encode(part)
+        ids = self.encode(part)
+        if len(part) <= LONGEST:
+            if len(self) > MEMO:
+                self.clear()
+            self[part] = ids
         return ids
 
     def encode(self, part: str) -> bytes:
@@ -174,9 +183,11 @@ class PartIds(dict):
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) > MEMO:
-                self.pieces.clear()
-            ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(as_bytes(piece))])
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(as_bytes(piece))])
+            if len(piece) <= LONGEST:
+                if len(self.pieces) > MEMO:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
         return ids
 
     def of_text(self, text: str) -> bytes:
