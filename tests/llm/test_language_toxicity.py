@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import language, toxicity
@@ -79,7 +81,87 @@ def test_folding_and_exceptions(spark):
 
 @pytest.mark.parametrize("n", [0, 5])
 def test_train_small(spark, n):
-    docs = spark.createDataFrame([(i, f"w{i % 5} x{i % 3}y clown w{i} a" if i % 2 else f"kind w{i} b") for i in range(n * 8)], "doc_id long, text string")
+    """What stands around the telling word is in clean documents too, so only that word is learned."""
+    docs = spark.createDataFrame([(i, f"w{i % 5} x{i % 3}y {'clown' if i % 2 else 'kind'} w{i} a") for i in range(n * 8)], "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
     model = toxicity.train(docs, labels)
     assert list(model.terms) == ([toxicity.fold("clown")] if n else [])
+
+
+def test_explained_words_need_several_contexts():
+    """On held-out labels, words in documents that another explains help if they stand in several contexts (half a say each)."""
+    docs = [{"bad": f"a{i}", "copy": "same", "often": f"b{i % 5}"} for i in range(20)]
+    kept = toxicity._explaining([("bad", 3.0), ("copy", 2.9), ("often", 2.8)], docs, 1.5)
+    assert list(kept) == ["bad", "often"]
+
+
+def naive_score(text, model):
+    """The score by looking for each entry by itself, at every place."""
+    t, weight = toxicity.fold(text or ""), 0.0
+    weights = dict(model.terms) | {e: -sum(model.terms.get(w, 0.0) for w in e.split(" ")) for e in model.exceptions}
+    for entry, w in weights.items():
+        stem, at, seen = entry.rstrip("*"), t.find(entry.rstrip("*")), 0
+        while at >= 0:
+            after = t[at + len(stem) : at + len(stem) + 1]
+            if not t[max(0, at - 1) : at].isalpha() and after.isalpha() == (entry[-1] == "*"):
+                seen += 1
+            at = t.find(stem, at + 1)
+        weight += w * (max(0, seen - 1) if entry[-1] == "*" else seen)
+    weight = max(0.0, weight)
+    a, b = math.log1p(weight), math.log1p(100 * weight / max(1, t.count(" ") + t.count("\n") + 1))
+    return 1 / (1 + math.exp(-(model.coef[0] + model.coef[1] * a + model.coef[2] * b)))
+
+
+def test_scores_equal_a_naive_matcher(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.trained(spark, sf, docs)
+    assert model.terms
+    got = {r.doc_id: r.score for r in toxicity.op8_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == pytest.approx(naive_score(r.text, model), abs=1e-9), r.doc_id
+
+
+def plain_mixture(text, logp, penalty=2.0):
+    """Shares of languages in one text by expectation-maximisation written out word by word, dropping one at a time."""
+    c = "\n" + text.lower() + "\n"
+    code = [ord(x) if x.isalpha() else 32 for x in c]
+    words, m = [], 2**32
+    for i in range(1, len(c) - 1):
+        if c[i].isalpha():
+            h = (code[i - 1] * 0x9E3779B1 ^ code[i] * 0x85EBCA77 ^ code[i + 1] * 0xC2B2AE3D) % m
+            h ^= h >> 15
+            h = ((h * 0x2C1B3C6D % m) >> 17) % language.BUCKETS
+            if not c[i - 1].isalpha():
+                words.append(np.zeros(logp.shape[1]))
+            words[-1] = words[-1] + logp[h]
+    if not words:
+        return np.zeros(logp.shape[1])
+    lik = np.array([np.exp(w - w.max()) for w in words])
+
+    def rounds(pi, n):
+        for _ in range(n):
+            r = lik * pi
+            pi = (r / (r.sum(1, keepdims=True) + 1e-30)).mean(0)
+        return pi, np.log((lik * pi).sum(1) + 1e-30).sum()
+
+    pi, ll = rounds(np.full(logp.shape[1], 1 / logp.shape[1]), 5)
+    while (pi > 0).sum() > 1:
+        fewer = pi.copy()
+        fewer[np.where(pi > 0, pi, np.inf).argmin()] = 0
+        fewer, ll2 = rounds(fewer / fewer.sum(), 3)
+        if ll2 + penalty * math.log(len(words) + 1) / 2 < ll:
+            break
+        pi, ll = fewer, ll2
+    return pi
+
+
+def test_mixtures_equal_plain_em(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    names, logp = language.train(docs)
+    texts = {r.doc_id: (r.text or "")[:3000] for r in docs.collect()}
+    cut = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in language.identify(cut, names, logp).collect():
+        want = plain_mixture(texts[r.doc_id], logp.astype(float))
+        assert {x.lang for x in r.langs} == {n for n, w in zip(names, want, strict=True) if w > 0}, r.doc_id
+        assert all(x.share == pytest.approx(want[names.index(x.lang)], abs=2e-3) for x in r.langs)
