@@ -11,8 +11,8 @@ nearer than others, as among random directions of many dimensions, it comes clos
 
 Equal vectors are searched as one, with its `k + 1` smallest ids, which are all that can be returned. Cells lie on shelves
 by hash, full cells in blocks on several; a task compares a shelf's vectors with a part of the queries that visit it, cell by
-cell, and passes on a query's best few of the whole shelf. Many visitors of a shelf are dealt out in parts. Defined results: vectors null, zero, of another length than the first
-found, or holding null or non-finite components take no part, as queries or candidates; a null id takes no part; rows that
+cell, and passes on a query's best few of the whole shelf. Many visitors of a shelf are dealt out in parts. Defined results: vectors null, zero, of another length than the most
+frequent one (of equally frequent ones the smallest), or holding null or non-finite components take no part, as queries or candidates; a null id takes no part; rows that
 repeat an id with the same vector count once; an empty table gives an empty table.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, hash_sample, table
 
-SAMPLE, TABLES, CELL, BLOCK = 6_000, 2, 2_048, 4_096
+SAMPLE, TABLES, CELL, BLOCK, PROBES = 6_000, 2, 2_048, 4_096, 4_096
 #: Vectors to a shelf, shelves at least, queries to a part of a shelf, queries compared at once, large cells or shelves at most.
 SHELF, SHELVES, QUERIES, CHUNK, LARGE = 65_536, 16, 2_048, 32, 100_000
 
@@ -97,27 +97,33 @@ def best_few(products: np.ndarray, ids: np.ndarray, few: int) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, n: int, k: int, recall: float, tables: int = TABLES, cell: int = CELL) -> dict:
-    """Parameters from a bounded sample of usable vectors: probes enough for `recall` of the sample's own neighbours."""
+    """Parameters from a bounded sample of usable vectors: probes enough for `recall` of the sample's own neighbours.
+
+    Where PROBES of a table don't reach it, there are fewer projections, so larger cells, until they do; with four or fewer
+    they are all cells within reach.
+    """
     top = float(np.sqrt((sample**2).sum(1)).max())
     x = lifted(sample, top)
-    m = max(1, min(24, ceil(log2(max(2.0, n / cell)) / 1.6)))
-    a, b = projections(x.shape[1], tables, m)
-    width = 2 * float(np.mean([(x @ a[t]).std(0).mean() for t in range(tables)])) or 1.0
     q = sample[:: max(1, len(sample) // 150)][:150]
-    inner = q @ sample.T
-    near = np.argsort(-inner, axis=1)[:, : k + 1]
+    near = np.argsort(-(q @ sample.T), axis=1)[:, : k + 1]
     own = np.column_stack([q / np.sqrt((q**2).sum(1, keepdims=True)), np.zeros(len(q))])
-    most = min(4096, 7**m)
-    rank = np.full(near.shape, most)
-    for t in range(tables):
-        home = np.floor((x @ a[t] + b[t] * width) / width).astype(np.int64)
-        visited = cell_keys(probes((own @ a[t] + b[t] * width) / width, most))
-        keys = cell_keys(home)[near]
-        for i in range(len(q)):
-            order = {c: r for r, c in reversed(list(enumerate(visited[i])))}
-            rank[i] = np.minimum(rank[i], [order.get(c, most) for c in keys[i]])
-    ranks = np.sort(rank.ravel())
-    return {"top": top, "m": m, "tables": tables, "width": width, "probes": int(min(most, ranks[min(len(ranks) - 1, ceil(recall * len(ranks)))] + 1))}
+    for m in range(max(1, min(24, ceil(log2(max(2.0, n / cell)) / 1.6))), 0, -1):
+        a, b = projections(x.shape[1], tables, m)
+        width = 2 * float(np.mean([(x @ a[t]).std(0).mean() for t in range(tables)])) or 1.0
+        most = min(PROBES, 7**m)
+        rank = np.full(near.shape, most)
+        for t in range(tables):
+            home = np.floor((x @ a[t] + b[t] * width) / width).astype(np.int64)
+            visited = cell_keys(probes((own @ a[t] + b[t] * width) / width, most))
+            keys = cell_keys(home)[near]
+            for i in range(len(q)):
+                order = {c: r for r, c in reversed(list(enumerate(visited[i])))}
+                rank[i] = np.minimum(rank[i], [order.get(c, most) for c in keys[i]])
+        ranks = np.sort(rank.ravel())
+        at = int(ranks[min(len(ranks) - 1, ceil(recall * len(ranks)))])
+        if at < most or m == 1:
+            break
+    return {"top": top, "m": m, "tables": tables, "width": width, "probes": min(most, at + 1), "reached": float((ranks < min(most, at + 1)).mean())}
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -55,3 +55,11 @@ def test_best_few():
     x = np.array([1.0, 3.0, 2.0, 2.0, 2.0, -np.inf, 0.0])
     assert set(ann.best_few(x, np.array([9, 8, 7, 5, 6, 1, 2]), 2)) >= {1, 3}
     assert len(ann.best_few(x, np.arange(7), 20)) == 6
+
+
+def test_fit_reaches_its_recall_at_any_size():
+    """Random directions are the hardest case: at 100 million vectors the first number of projections falls short."""
+    sample = np.random.default_rng(1).normal(size=(1500, 64))
+    for n in (2_000, 1_000_000, 100_000_000, 10_000_000_000):
+        p = ann.fit(sample, n, 20, 0.94)
+        assert p["reached"] >= 0.94 and p["probes"] <= ann.PROBES, n
