@@ -54,15 +54,5 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(F.aggregate(a, zero, row)), F.lit(0))
 
 
-def simhash(shingles: Column, bits: int = 32) -> Column:
-    """A fingerprint of an array of strings: bit i is set where more than half of the CRC-32s have it."""
-    codes = F.transform(shingles, lambda s: F.crc32(s.cast("binary")))
-    parts = [F.when(2 * F.size(F.filter(codes, lambda c, i=i: F.shiftright(c, i).bitwiseAND(F.lit(1)) == 1)) > F.size(codes), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bits)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.bitwiseOR(p)
-    return out
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
