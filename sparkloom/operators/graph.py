@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in spark.checkpoint.dir, or a temporary one where that is unset."""
-    import tempfile
 
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+def _cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

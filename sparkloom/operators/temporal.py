@@ -63,3 +63,28 @@ def run_of(events: DataFrame, types: list[str], within_s: int, key: str = "user_
     for i, kind in enumerate(types):
         ahead = ahead.where(F.col(f"t{i}") == kind)
     return ahead.where(micros("last") - micros("ts") <= within_s * 1_000_000).select(key, "event_id")
+
+
+def overlap_counts(spans: DataFrame, key: str) -> DataFrame:
+    """spans (id, key, s, e) with others: how many other spans of the key share a point with each.
+
+    Those that begin by its end less those that end before its start: running counts over starts and ends, so no pair is
+    formed, however many overlap.
+    """
+    starts = spans.select(key, F.col("s").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"))
+    ends = spans.select(key, F.col("e").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"))
+    ask = lambda c, kind: spans.select(key, F.col(c).alias("at"), F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"))
+    w = W.partitionBy(key).orderBy("at", "kind")
+    begun = starts.unionByName(ask("e", 1)).withColumn("n", F.count_if(F.col("id").isNull()).over(w)).where("id IS NOT NULL").select("id", F.col("n").alias("begun"))
+    over = ends.unionByName(ask("s", -1)).withColumn("n", F.count_if(F.col("id").isNull()).over(w)).where("id IS NOT NULL").select("id", F.col("n").alias("over"))
+    return begun.join(over, "id").select("id", (F.col("begun") - F.col("over") - 1).alias("others"))
+
+
+def run_then(events: DataFrame, kind: str, then: str, least: int, most: int, within_s: int, key: str = "user_id") -> DataFrame:
+    """(key, first_id, views, then_id): unbroken runs of `least` to `most` events of a kind, whole ones, directly followed by `then`."""
+    w = W.partitionBy(key).orderBy("ts", "event_id")
+    o = events.select(key, "event_id", "ts", "event_type", F.row_number().over(w).alias("r"), F.row_number().over(W.partitionBy(key, "event_type").orderBy("ts", "event_id")).alias("t"), F.lead("event_type").over(w).alias("nxt"), F.lead("event_id").over(w).alias("then_id"), F.lead("ts").over(w).alias("then_ts"))
+    g = o.where(F.col("event_type") == kind).groupBy(key, (F.col("r") - F.col("t")).alias("run"))
+    g = g.agg(F.count(F.lit(1)).alias("views"), F.min(F.struct("r", "event_id", "ts")).alias("first"), F.max(F.struct("r", "nxt", "then_id", "then_ts")).alias("last"))
+    ok = F.col("views").between(least, most) & (F.col("last.nxt") == then) & (micros(F.col("last.then_ts")) - micros(F.col("first.ts")) <= within_s * 1_000_000)
+    return g.where(ok).select(key, F.col("first.event_id").alias("first_id"), "views", F.col("last.then_id").alias("then_id"))

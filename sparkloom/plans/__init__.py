@@ -1,6 +1,6 @@
 """The query catalogue: importing this package registers every query."""
 
 from ..catalog import ORACLE, QUERIES
-from . import analytics, extended, logic, more, retrieval, search, textual, vectors
+from . import analytics, extended, files, knowledge, learning, logic, more, operations, retrieval, search, textual, vectors
 
-__all__ = ["ORACLE", "QUERIES", "analytics", "extended", "logic", "more", "retrieval", "search", "textual", "vectors"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "extended", "files", "knowledge", "learning", "logic", "more", "operations", "retrieval", "search", "textual", "vectors"]

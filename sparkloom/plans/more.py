@@ -1,8 +1,5 @@
 """Blocks, access patterns, text similarity, vectors, statistics, merges and streams."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +7,7 @@ from ..catalog import query
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import diff, stats, temporal
+from ..sources.shared import new_path
 from ..sources.tables import table
 from ..streaming import windows
 from .analytics import _SNAP, _snapshots
@@ -152,6 +150,5 @@ def stream_hourly(spark, sf):
     path = f"{sf}/events.parquet"
     # The stream source takes a single file only by a pattern; this one fits a folder of files as well.
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/event[s].parquet")
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    got = windows.run_to_end(windows.hourly(events), ["hour", "event_type"], f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    got = windows.run_to_end(windows.hourly(events), ["hour", "event_type"], new_path(spark, "stream"))
     return got.withColumn("hour", F.col("hour").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
