@@ -28,7 +28,10 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
 
 
 def fixed_chunks(text: Column, size: int, overlap: int = 0) -> Column:
-    """Chunks of size characters, each starting size - overlap after the one before; none for empty text."""
+    """Chunks of size characters, each starting size - overlap after the one before; none for empty text.
+
+    Cut off in one pass of a look-ahead pattern; those that would begin inside the overlap with the last one are left out.
+    """
     step = size - overlap
-    count = F.when(F.char_length(text) > 0, F.greatest(F.ceil((F.char_length(text) - overlap) / step), F.lit(1))).otherwise(0).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(text, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
+    return F.slice(cut, 1, F.greatest(F.ceil((F.char_length(text) - overlap) / step), F.lit(1)).cast("int"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import postings, tokens
+from ..functions.text import tokens
+from .blocks import ranks
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.5, b: float = 0.75, require_all: bool = False) -> DataFrame:
@@ -37,30 +38,28 @@ def top_k(hits: DataFrame, k: int, id_col: str = "doc_id", score: str = "score")
     return hits.orderBy(F.desc(score), id_col).limit(k)
 
 
-def ranked(hits: DataFrame, by: Sequence[str] = ("source",), id_col: str = "doc_id", score: str = "score") -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), id_col)))
-
-
 def fuse(hits: DataFrame, how: str = "rrf", k: float = 60.0, weights: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, fused) from (source, doc_id, score) lists by rrf, borda, combsum, combmnz, combmax, minmax or weighted."""
-    r = ranked(hits)
-    per = W.partitionBy("source")
-    lo, hi = F.min("score").over(per), F.max("score").over(per)
-    unit = F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0)
+    """(doc_id, fused) from (source, doc_id, score) lists by rrf, borda, combsum, combmnz, combmax, minmax or weighted.
+
+    Lists may be of any length: bounds and counts are partial aggregates with a row a list, ranks are formed in blocks.
+    """
     weight: Column = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
-    part = {
-        "rrf": 1 / (F.lit(k) + F.col("rank")), "borda": (F.count(F.lit(1)).over(per) - F.col("rank") + 1).cast("double"), "combsum": F.col("score"), "combmax": F.col("score"),
-        "combmnz": F.col("score"), "minmax": unit, "weighted": unit * weight,
-    }[how]
+    r = ranks(hits, ["source"], "score", "doc_id") if how in ("rrf", "borda") else hits
+    if how in ("borda", "minmax", "weighted"):
+        r = r.join(hits.groupBy("source").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("n")), "source")
+    unit = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
+    part = {"rrf": 1 / (F.lit(k) + F.col("rank")), "borda": (F.col("n") - F.col("rank") + 1).cast("double"), "minmax": unit, "weighted": unit * weight}.get(how, F.col("score"))
     total = {"combmax": F.max("part"), "combmnz": F.sum("part") * F.count(F.lit(1))}.get(how, F.sum("part"))
     return r.withColumn("part", part).groupBy("doc_id").agg(total.alias("fused"))
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
-    """(term, df, cf) of every term."""
-    return postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """(term, df, cf) of every term: words and each text's distinct words are summed by term in their tasks; no posting is shuffled."""
+    own = tokens(F.col("text"))
+    rows = F.concat(F.transform(own, lambda w: F.struct(w.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))), F.transform(F.array_distinct(own), lambda w: F.struct(w.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))))
+    return docs.select(F.explode(rows).alias("r")).groupBy("r.term").agg(F.sum("r.df").alias("df"), F.sum("r.cf").alias("cf"))
 
 
 def mmr(candidates: DataFrame, k: int, lam: float = 0.7) -> DataFrame:

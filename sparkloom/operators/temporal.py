@@ -32,11 +32,14 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap_s: int
     return events.withColumn("session", F.sum(F.coalesce(new, F.lit(0).cast("long"))).over(w))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """left with the right side's last value at or before its time, by key: one union, sort and running last, not a range join."""
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie: str) -> DataFrame:
+    """left with the right side's last value at or before its time, by key; of several at one time that of the largest `tie`.
+
+    One union, sort and running last, not a range join.
+    """
     cols = left.columns
-    both = left.withColumn("__v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("__side", F.lit(1)).unionByName(right.select(key, ts, F.col(value).alias("__v")).withColumn("__side", F.lit(0)), allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(ts, "__side").rowsBetween(W.unboundedPreceding, 0)
+    both = left.withColumn("__v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("__side", F.lit(1)).unionByName(right.select(key, ts, tie, F.col(value).alias("__v")).withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    w = W.partitionBy(key).orderBy(ts, "__side", tie).rowsBetween(W.unboundedPreceding, 0)
     return both.withColumn("as_of", F.last("__v", True).over(w)).where("__side = 1").select(*cols, "as_of")
 
 

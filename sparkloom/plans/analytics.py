@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import diff, filters, temporal
+from ..operators import blocks, diff, filters, temporal
 from ..sources.tables import table
 
 _LEAF = {
@@ -137,7 +137,8 @@ def metric_sliding(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def metric_percentiles(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", q), 6).alias(f"p{int(100 * q)}") for q in (0.5, 0.95, 0.99)])
+    q = blocks.quantiles(table(spark, sf, "events"), ["event_type"], "value", "event_id", (0.5, 0.95, 0.99))
+    return q.select("event_type", *[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
 @query("SELECT date_trunc('day', ts) AS day, round(COUNT(*) FILTER (event_type = 'error') / COUNT(*)::DOUBLE, 6) AS rate FROM events GROUP BY 1")
@@ -207,7 +208,7 @@ def overlap_join(spark, sf):
 @query("SELECT e.event_id, (SELECT arg_max(p.value, (p.ts, p.event_id)) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts) AS as_of FROM events e WHERE e.event_type = 'click'")
 def as_of_value(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return temporal.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'"), "user_id", "ts", "value").select("event_id", "as_of")
+    return temporal.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'"), "user_id", "ts", "value", "event_id").select("event_id", "as_of")
 
 
 _STAT = "st AS (SELECT AVG(l_quantity) AS m, stddev_pop(l_quantity) AS s, MIN(l_quantity) AS lo, MAX(l_quantity) AS hi FROM lineitem)"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import vectors as V
-from ..operators import graph, stats, temporal
+from ..operators import blocks, graph, stats, temporal
 from ..sources.tables import table
 
 #: An acyclic graph with weights: each supplier under those with half and a third of its key.
@@ -70,8 +70,8 @@ def retention_by_type(spark, sf):
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, SUM(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC) AS kept FROM documents) WHERE kept <= 100000")
 def retention_by_size(spark, sf):
-    w = W.partitionBy("source").orderBy(F.desc("doc_id")).rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, sf, "documents").withColumn("kept", F.sum("n_chars").over(w)).where("kept <= 100000").select("source", "doc_id")
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    return blocks.running_sums(d, ["source"], "doc_id", "n_chars", True, "kept").where("kept <= 100000").select("source", "doc_id")
 
 
 @query("SELECT user_id, event_id, value, round(low, 6) AS low, row_number() OVER (PARTITION BY user_id, low ORDER BY ts, event_id) - 1 AS waited FROM (SELECT *, MIN(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS low FROM events)")
@@ -150,10 +150,12 @@ def effect_size(spark, sf):
 
 @query("WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT i, AVG(x) AS m, var_pop(x) AS v FROM x GROUP BY i) SELECT vec_id, round(sqrt(SUM((x - m) * (x - m) / v)), 4) AS distance FROM x JOIN m USING (i) WHERE v > 0 GROUP BY vec_id")
 def mahalanobis_diagonal(spark, sf):
-    x = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    m = x.groupBy("i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).where("v > 0")
-    d = x.join(m, "i").withColumn("z", (F.col("x") - F.col("m")) * (F.col("x") - F.col("m")) / F.col("v"))
-    return d.groupBy("vec_id").agg(F.round(F.sqrt(F.sum("z")), 4).alias("distance"))
+    """The moments of all coordinates are one row; the distance is formed inside each vector's."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    m = e.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("s"))
+    m = m.agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("ms"))
+    z = F.zip_with("v", "ms", lambda x, k: F.when(k["s"] > 0, (x - k["m"]) * (x - k["m"]) / k["s"]).otherwise(0.0))
+    return e.join(F.broadcast(m)).select("vec_id", F.round(F.sqrt(F.aggregate(z, F.lit(0.0), lambda a, x: a + x)), 4).alias("distance"))
 
 
 @query("WITH x AS (SELECT vec_id % 2 AS half, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT i, AVG(x) FILTER (half = 0) AS a, AVG(x) FILTER (half = 1) AS b FROM x GROUP BY i) SELECT round(1 - SUM(a * b) / sqrt(SUM(a * a) * SUM(b * b)), 5) AS drift FROM m")

@@ -123,10 +123,11 @@ for _how, _sql in (("mean", "AVG"), ("sum", "SUM"), ("max", "MAX"), ("min", "MIN
 
 @query(f"WITH {_C}, s AS (SELECT vec_id, c.label AS route, round(list_cosine_similarity(c, embedding::DOUBLE[]), 6) AS score FROM c, embeddings) SELECT vec_id, CASE WHEN score >= 0.3 THEN route ELSE -1 END AS route, score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s.route) = 1")
 def nearest_route(spark, sf):
+    """The routes are one array of a struct a label; the best of them is found inside each vector's row."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    routes = centroids(table(spark, sf, "embeddings")).select("label", "c")
-    s = e.join(routes).select("vec_id", "label", F.round(V.cosine(F.col("c"), F.col("embedding")), 6).alias("score"))
-    best = s.groupBy("vec_id").agg(F.max(F.struct("score", (-F.col("label")).alias("back"))).alias("b"))
+    routes = centroids(table(spark, sf, "embeddings")).agg(F.collect_list(F.struct("label", "c")).alias("routes"))
+    scored = F.transform("routes", lambda r: F.struct(F.round(V.cosine(r["c"], F.col("embedding")), 6).alias("score"), (-r["label"]).alias("back")))
+    best = e.join(F.broadcast(routes)).select("vec_id", F.array_max(scored).alias("b"))
     return best.select("vec_id", F.when(F.col("b.score") >= 0.3, -F.col("b.back")).otherwise(-1).alias("route"), F.col("b.score").alias("score"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..operators import blocks
 from ..operators import rules as L
 from ..operators.temporal import micros
 from ..sources.tables import table
@@ -175,7 +176,9 @@ def _trailing(name, sql, micro):
         last = e.agg(F.max("ts").alias("end"))
         x = e.join(F.broadcast(last)).where(micros("end") - micros("ts") <= micro)
         v = F.col("value")
-        return x.agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("dev"), *[F.round(F.percentile(v, q), 6).alias(f"p{int(100 * q)}") for q in (0.5, 0.95, 0.99)], F.round(F.regr_slope(v, micros("ts") / 1e6), 9).alias("trend"))
+        m = x.agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("dev"), F.round(F.regr_slope(v, micros("ts") / 1e6), 9).alias("trend"))
+        q = blocks.quantiles(x, [], "value", "event_id", (0.5, 0.95, 0.99))
+        return m.join(q.select(*[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))]))
 
     f.__name__ = name
     query(f"WITH x AS (SELECT value, ts FROM events WHERE epoch_us((SELECT MAX(ts) FROM events)) - epoch_us(ts) <= {micro}) SELECT COUNT(*) AS n, MIN(value) AS lo, MAX(value) AS hi, round(AVG(value), 6) AS mean, round(stddev_pop(value), 6) AS dev, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, CASE WHEN COUNT(*) > 1 THEN round(regr_slope(value, epoch_us(ts) / 1e6), 9) END AS trend FROM x")(f)
