@@ -9,7 +9,7 @@ from ..functions import vectors as V
 from ..operators import diff, stats, temporal
 from ..sources.shared import new_path
 from ..sources.tables import table
-from ..streaming import windows
+from ..streaming import patterns, windows
 from .analytics import _SNAP, _snapshots
 from .search import _C, centroids
 
@@ -153,3 +153,11 @@ def stream_hourly(spark, sf):
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/event[s].parquet")
     got = windows.run_to_end(windows.hourly(events), ["hour", "event_type"], new_path(spark, "stream"))
     return got.withColumn("hour", F.col("hour").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT user_id, first_id, then_id FROM (SELECT user_id, event_id AS first_id, event_type AS a, lead(event_type) OVER w AS b, lead(event_id) OVER w AS then_id, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE a = 'view' AND b = 'purchase' AND gap <= 86400000000")
+def stream_patterns(spark, sf):
+    """A view and then a purchase within a day, over a stream with state."""
+    path = f"{sf}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/event[s].parquet")
+    return patterns.run_appended(patterns.follow(events, "view", "purchase", 86_400), new_path(spark, "patterns"))
