@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bits_of, likely
 
 #: Rows of small tables to a task; ids to a block of a group; members from which on a group may get another lead.
 TASK_ROWS, BLOCK, LARGE = 50_000, 512, 64
@@ -68,13 +68,17 @@ def link(scratch: Scratch, keys: DataFrame, items: Callable[[DataFrame], DataFra
 
     Each key has its smallest id as lead, and all ids of the keys that share a lead form one group: so a family of alike ids,
     whose keys mostly have the same lead, meets once and not once a key. First every id is compared with its leads only. In
-    groups that then still hold several components, ids of different components are compared, block by block, inside the
-    join's condition; pairs inside a component can't change it. Before, large groups whose lead has few alike get another
+    groups that then still hold several components, ids outside the lead's are compared with those of others, block by
+    block, inside the join's condition; pairs inside a component can't change it. Before, large groups whose lead has few alike get another
     lead, chosen by hash, while that settles pairs. So no link is lost, copies cost one comparison each, and only links leave
     a join; the comparisons within a family whose ids are nearly but not quite alike still grow with its square.
     """
-    heads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    met = scratch.table(keys.join(heads, "key").select("lead", "id").distinct(), "met")
+    heads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
+    heads = scratch.table(heads.select("key", "lead"), "heads")
+    # Most keys have one id; only those that a set of the others may hold are shuffled again.
+    again = likely(keys, "key", scratch.table(bits_of(heads, "key"), "bits"))
+    met = scratch.table(again.join(heads, "key").select("lead", "id").distinct(), "met")
+    scratch.drop(heads)
     ids = scratch.table(met.select("id").distinct(), "ids")
     rows = scratch.table(met.join(items(ids), "id").select("lead", "id", "p"), "rows")
 
@@ -97,7 +101,7 @@ def link(scratch: Scratch, keys: DataFrame, items: Callable[[DataFrame], DataFra
     for turn in range(rounds + 1):
         placed = scratch.table(met.join(comp, "id", "left").select("lead", "id", F.coalesce("comp", "id").alias("comp")), "placed")
         per = placed.groupBy("lead", "comp").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("id") == F.col("lead")).cast("int")).alias("own"))
-        groups = per.groupBy("lead").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("within"), F.sum(F.col("n") * F.col("own")).alias("near"), F.count(F.lit(1)).alias("comps"))
+        groups = per.groupBy("lead").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("within"), F.sum(F.col("n") * F.col("own")).alias("near"), F.count(F.lit(1)).alias("comps"), F.max(F.when(F.col("own") == 1, F.col("comp"))).alias("main"))
         groups = scratch.table(groups.where("comps > 1").withColumn("hubless", F.expr(f"n >= {LARGE} AND 3 * near < n")), "groups")
         r = groups.where("hubless").agg(F.sum((F.col("n").cast("double") ** 2 - F.col("within")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
         if turn == rounds or not r["n"] or r["pairs"] <= 32 * r["n"] or r["pairs"] > before / 2:
@@ -111,13 +115,14 @@ def link(scratch: Scratch, keys: DataFrame, items: Callable[[DataFrame], DataFra
         found = scratch.table(pairs if confirm is None else confirm(scratch.table(pairs, "pairs")), "found")
         comp = joined_components(scratch, comp, found)
         scratch.drop(placed, groups)
-    # A group's ids lie in blocks; each two blocks, and each block with itself, meet once.
-    open_ = placed.join(groups.select("lead", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lead")
+    # Of two ids of different components one isn't in the lead's: those meet all others, block by block.
+    open_ = placed.join(groups.select("lead", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lead")
     open_ = scratch.table(rows.join(open_, ["lead", "id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "open")
     scratch.drop(rows, met, placed, groups)
-    left = open_.select("lead", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("p").alias("q"))
-    right = open_.select("lead", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("comp").alias("cb"), "p")
-    pairs = dealt(left, "q", "lead", "i", "j").join(dealt(right, "p", "lead", "i", "j"), ["lead", "i", "j"]).where("ca <> cb AND (i < j OR a < b)").where(alike("q", "p"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = open_.where("comp <> main").select("lead", F.col("block").alias("i"), others.alias("j"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("p").alias("q"))
+    right = open_.select("lead", others.alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("main"), "p")
+    pairs = dealt(left, "q", "lead", "i", "j").join(dealt(right, "p", "lead", "i", "j"), ["lead", "i", "j"]).where("ca <> cb AND (main OR a < b)").where(alike("q", "p"))
     pairs = scratch.table(pairs.select("a", "b", "ca", "cb").dropDuplicates(["a", "b"]), "pairs")
     found = pairs if confirm is None else scratch.table(confirm(pairs), "found")
     out = joined_components(scratch, comp, found)
