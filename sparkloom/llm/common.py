@@ -33,6 +33,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.frames: list[DataFrame] = []
         self.n = 0
 
     def path(self, name: str) -> str:
@@ -45,15 +46,23 @@ class Scratch:
         (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        self.frames.append(out)  # so that no other gets its id
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
-        jvm = self.spark._jvm
         for t in tables:
-            if path := self.paths.pop(id(t), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(id(t))
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes all other tables."""
+        for key in self.paths.keys() - {id(t) for t in tables}:
+            self._delete(key)
+
+    def _delete(self, key: int) -> None:
+        if path := self.paths.pop(key, None):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Bits of the set that bits_of() makes: its table has at most BITS / 64 rows, so it can be broadcast at any scale.

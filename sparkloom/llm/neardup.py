@@ -160,10 +160,9 @@ def alike(a: str, b: str, percent: int) -> Column:
     return F.expr(f"{size} AND {apart} <= {DISTANCE} AND {100 + percent} * ({cells}) <= {100 - percent} * ({a}.n + {b}.n)")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text), linked at Jaccard >= percent / 100."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = scratch or Scratch(docs.sparkSession, "neardup")
     docs = docs.select("doc_id", "text")
     own = scratch.table(signatures(docs, size), "own")
     repeated = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("h1", "h2", "n")).alias("first")).where("rows > 1")
@@ -213,7 +212,8 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Texts aren't shuffled: most rows pass by a set of the ids that leave, and only those that it may hold meet them.
     """
     scratch = Scratch(docs.sparkSession, "oneofeach")
-    found = scratch.table(near_duplicates(docs, **how), "found")
+    found = scratch.table(near_duplicates(docs, scratch=scratch, **how), "found")
+    scratch.keep_only(found)
     gone = scratch.table(found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
     marked = flagged(docs, "doc_id", scratch.table(bits_of(gone, "__id"), "bits"), "__leaves")
     doubtful = marked.where("__leaves").join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
