@@ -7,8 +7,8 @@ stands in copies of a toxic document is explained by that document's real ones,
 a lexicon word that occur mainly in clean documents; they cancel the match inside them. The score is a logistic function
 of the total weight and of the weight per hundred words.
 
-Defined results: a null or empty text has no matches and gets the score of such a text; without labels of both kinds the
-lexicon is empty and every score is 0; a null id is not held out; repeated rows give repeated rows.
+Defined results: a null or empty text has no matches and gets the score of such a text; without labels of both kinds, or
+words that tell them apart, the lexicon is empty and every score is 0; a text without a match scores under a half; a null id is not held out; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -108,6 +108,14 @@ def probability(x: np.ndarray, coef: tuple[float, float, float]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(coef[0] + x @ np.array(coef[1:]), -30, 30)))
 
 
+def chance(x: tuple[float, float], coef: tuple[float, float, float] | None) -> float:
+    """The score of a text's features; without a match, whatever the share of toxic labels, under a half."""
+    if coef is None:
+        return 0.0
+    p = float(probability(np.array([x]), coef)[0])
+    return p if x[0] else min(p, 0.49)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
     """Newton's method on the bounded sample's two features."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -196,6 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         w = _WORD.findall(text)
         return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False) if (a in terms or b in terms) and f"{a} {b}" in text}
 
+    if not terms:
+        sample.unpersist()
+        return Model()
     rows = _counted(sample, pairs, "term string, clean long, toxic long").where("clean >= 5 AND clean >= 4 * toxic").orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS).collect()
     model = Model(terms, [r["term"] for r in rows])
 
@@ -225,7 +236,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     folded = fold(text or "")
                     weight, found = matches(folded, automaton)
                     x = (math.log1p(weight), math.log1p(100 * weight / max(1, folded.count(" ") + folded.count("\n") + 1)))
-                    s.append(float(probability(np.array([x]), model.coef)[0]) if model.coef else 0.0)
+                    s.append(chance(x, model.coef))
                     hits.append(len(found))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32()), pa.array(hits, pa.int64())], ["doc_id", "score", "predicted", "hits"])
 
@@ -248,7 +259,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         automaton = model.matcher()
         for batch in batches:
             for part in slices(batch, "text"):
-                keep = [not model.coef or probability(np.array([features(t or "", automaton)]), model.coef)[0] < 0.5 for t in part.column(at).to_pylist()]
+                keep = [chance(features(t or "", automaton), model.coef) < 0.5 for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

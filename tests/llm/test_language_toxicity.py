@@ -109,7 +109,8 @@ def naive_score(text, model):
         weight += w * (max(0, seen - 1) if entry[-1] == "*" else seen)
     weight = max(0.0, weight)
     a, b = math.log1p(weight), math.log1p(100 * weight / max(1, t.count(" ") + t.count("\n") + 1))
-    return 1 / (1 + math.exp(-(model.coef[0] + model.coef[1] * a + model.coef[2] * b)))
+    p = 1 / (1 + math.exp(-(model.coef[0] + model.coef[1] * a + model.coef[2] * b)))
+    return p if weight else min(p, 0.49)
 
 
 def test_scores_equal_a_naive_matcher(spark):
