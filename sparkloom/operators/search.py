@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import kept
 from .blocks import ranks
 
 
@@ -46,6 +47,8 @@ def fuse(hits: DataFrame, how: str = "rrf", k: float = 60.0, weights: dict[str,
     weight: Column = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
+    if how in ("rrf", "borda", "minmax", "weighted"):
+        hits = kept(hits.select("source", "doc_id", "score"), "hits")
     r = ranks(hits, ["source"], "score", "doc_id") if how in ("rrf", "borda") else hits
     if how in ("borda", "minmax", "weighted"):
         r = r.join(hits.groupBy("source").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("n")), "source")
@@ -57,9 +60,9 @@ def fuse(hits: DataFrame, how: str = "rrf", k: float = 60.0, weights: dict[str,
 
 def term_stats(docs: DataFrame) -> DataFrame:
     """(term, df, cf) of every term: words and each text's distinct words are summed by term in their tasks; no posting is shuffled."""
-    own = tokens(F.col("text"))
-    rows = F.concat(F.transform(own, lambda w: F.struct(w.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))), F.transform(F.array_distinct(own), lambda w: F.struct(w.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))))
-    return docs.select(F.explode(rows).alias("r")).groupBy("r.term").agg(F.sum("r.df").alias("df"), F.sum("r.cf").alias("cf"))
+    own = docs.select(tokens(F.col("text")).alias("w"))
+    each = own.select(F.explode(F.array(F.struct(F.lit(1).alias("all"), F.col("w").alias("w")), F.struct(F.lit(0).alias("all"), F.array_distinct("w").alias("w")))).alias("e"))
+    return each.select("e.all", F.explode("e.w").alias("term")).groupBy("term").agg(F.sum(1 - F.col("all")).alias("df"), F.sum("all").alias("cf"))
 
 
 def mmr(candidates: DataFrame, k: int, lam: float = 0.7) -> DataFrame:
