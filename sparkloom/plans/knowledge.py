@@ -384,3 +384,13 @@ def seq_gaps(spark, sf):
     o = table(spark, sf, "events").select(F.concat("event_type", F.lit(">"), F.lead("event_type").over(w)).alias("step"), (micros(F.lead("ts").over(w)) - micros("ts")).alias("us")).where("step IS NOT NULL")
     gap = L.first_match([("simultaneous", F.col("us") == 0), ("within", F.col("us") <= 3_600_000_000), ("between", F.col("us") <= 86_400_000_000)], "after")
     return o.groupBy("step", gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH RECURSIVE {_TREE}, t AS (SELECT a.dst AS x, b.dst AS y FROM e a JOIN e b ON a.src = b.src WHERE a.dst <> b.dst UNION SELECT a.dst, b.dst FROM t JOIN e a ON a.src = t.x JOIN e b ON b.src = t.y) SELECT x, y FROM t WHERE x < 64 AND y < 64")
+def same_generation(spark, sf):
+    """Two rules: siblings are of one generation, and so are children of those that are."""
+    e = tree(spark, sf).where("dst < 64")
+    a, b = e.select(F.col("src").alias("px"), F.col("dst").alias("x2")), e.select(F.col("src").alias("py"), F.col("dst").alias("y2"))
+    base = a.join(b, F.col("px") == F.col("py")).where("x2 <> y2").select(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    step = lambda new: new.join(a, new["x"] == a["px"]).join(b, F.col("y") == F.col("py")).select(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    return graph.fixpoint(base, step)

@@ -255,3 +255,67 @@ def search_aggregations(spark, sf):
     x = t.join(F.broadcast(t.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))))
     bucket = F.least(F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10))).otherwise(F.lit(0)), F.lit(9)).cast("long")
     return x.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+@query(_LISTS + "SELECT doc_id, score FROM dense WHERE score BETWEEN 0.1 AND 0.6 AND starts_with(doc_id::VARCHAR, '1') ORDER BY score DESC, doc_id LIMIT 10")
+def hits_filtered(spark, sf):
+    """Hits by least and largest score, by the beginning of their id, and at most ten."""
+    h = dense(spark, sf).where("score BETWEEN 0.1 AND 0.6").where(F.col("doc_id").cast("string").startswith("1"))
+    return S.top_k(h, 10)
+
+
+def _filtered(how):
+    def f(spark, sf):
+        e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+        s = dense(spark, sf, None).join(e, "doc_id").withColumn("final", F.round(F.col("score") * R.recency((F.col("doc_id") % 90 - 5).cast("double"), 0.5), 6))
+        s = s.where("label IN (1, 2)") if how == "pre" else s.orderBy(F.desc("score"), "doc_id").limit(50).where("label IN (1, 2)")
+        return s.where("final >= 0.01").orderBy(F.desc("final"), "doc_id").limit(10).select(F.col("doc_id").alias("vec_id"), "final")
+
+    f.__name__ = f"knn_{how}filter"
+    base = f"WITH {_C}, s AS (SELECT vec_id, e.label, round({_COS}, 6) AS score FROM c, embeddings e WHERE c.label = 1)"
+    aged = "round(score * CASE WHEN (vec_id % 90 - 5) <= 0 THEN 1.0 ELSE exp(-0.5::DOUBLE * (vec_id % 90 - 5) / 30) END::DOUBLE, 6) AS final"
+    rows = "s" if how == "pre" else "(SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 50)"
+    query(f"{base}, x AS (SELECT vec_id, label, {aged} FROM {rows}) SELECT vec_id, final FROM x WHERE label IN (1, 2) AND final >= 0.01 ORDER BY final DESC, vec_id LIMIT 10")(f)
+
+
+for _m in ("pre", "post"):
+    _filtered(_m)
+
+
+@query(_SIGNALS + ", f AS (SELECT doc_id, round(0.6 * d + 0.4 * s, 6) AS fused, round(0.5 * d + 0.25 * tags + 0.2 * recent, 6) AS again FROM g ORDER BY fused DESC, doc_id LIMIT 30), u AS (SELECT f.doc_id, again FROM f JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY again DESC, f.doc_id) = 1) SELECT doc_id, again AS score FROM u WHERE again >= 0.1 ORDER BY again DESC, doc_id LIMIT 10")
+def search_stages(spark, sf):
+    """Candidates of both lists, fused, the best thirty reranked, equal texts once, a least score, the best ten."""
+    g = signals(spark, sf).select("doc_id", F.round(0.6 * F.col("d") + 0.4 * F.col("s"), 6).alias("score"), F.round(0.5 * F.col("d") + 0.25 * F.col("tags") + 0.2 * F.col("recent"), 6).alias("again"))
+    f = S.top_k(g, 30).join(table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("cid")), "doc_id")
+    u = f.withColumn("r", F.row_number().over(W.partitionBy("cid").orderBy(F.desc("again"), "doc_id"))).where("r = 1 AND again >= 0.1")
+    return S.top_k(u.select("doc_id", F.col("again").alias("score")), 10)
+
+
+@query(f"WITH {_C}, s AS (SELECT a.label, b.label AS other, round(list_cosine_similarity(a.c, b.c), 6) AS score FROM c a JOIN c b ON a.label <> b.label) SELECT label, other, score FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, other) <= 3")
+def similar_concepts(spark, sf):
+    """The three labels nearest to each label; a row a label on either side."""
+    c = centroids(table(spark, sf, "embeddings"))
+    s = c.select("label", F.col("c").alias("x")).join(c.select(F.col("label").alias("other"), F.col("c").alias("y"))).where("label <> other")
+    s = s.select("label", "other", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("score"))
+    return s.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "other"))).where("r <= 3").drop("r")
+
+
+@query("WITH p AS (SELECT vec_id AS intent, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 5), s AS (SELECT e.vec_id, intent, round(list_cosine_similarity(c, embedding::DOUBLE[]), 6) AS score FROM embeddings e, p), r AS (SELECT vec_id, max(score) AS best, arg_max(intent, score - intent * 1e-9) AS intent, list_sort(list(score))[-2] AS second FROM s GROUP BY vec_id) SELECT vec_id, CASE WHEN best >= 0.2 THEN intent END AS intent, best AS score, round(best - second, 6) AS margin FROM r")
+def intents(spark, sf):
+    """The nearest of five prototypes, if near enough, and how far ahead of the next it is."""
+    e = table(spark, sf, "embeddings")
+    p = e.where("vec_id < 5").agg(F.collect_list(F.struct(F.col("vec_id").alias("intent"), F.col("embedding").alias("c"))).alias("p"))
+    scored = F.transform("p", lambda k: F.struct(F.round(V.cosine(k["c"], F.col("embedding")), 6).alias("score"), (-k["intent"]).alias("back")))
+    r = e.join(F.broadcast(p)).select("vec_id", F.sort_array(scored, False).alias("s"))
+    best, second = F.col("s")[0], F.col("s")[1]
+    return r.select("vec_id", F.when(best["score"] >= 0.2, -best["back"]).alias("intent"), best["score"].alias("score"), F.round(best["score"] - second["score"], 6).alias("margin"))
+
+
+@query(f"WITH {_C}, m AS (SELECT vec_id, label % 2 AS kind, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 3), s AS (SELECT vec_id, c.label AS entity, round(list_cosine_similarity(c, v), 6) AS score FROM m JOIN c ON c.label % 2 = kind) SELECT vec_id, arg_max(entity, score - entity * 1e-9) AS entity, max(score) AS score FROM s GROUP BY vec_id")
+def entity_links(spark, sf):
+    """Mentions linked to the nearest entity of their kind."""
+    e = table(spark, sf, "embeddings")
+    c = centroids(e).groupBy((F.col("label") % 2).alias("kind")).agg(F.collect_list(F.struct("label", "c")).alias("cs"))
+    m = e.where("vec_id % 10 = 3").withColumn("kind", F.col("label") % 2).join(F.broadcast(c), "kind")
+    scored = F.transform("cs", lambda k: F.struct(F.round(V.cosine(k["c"], F.col("embedding")), 6).alias("score"), (-k["label"]).alias("back")))
+    return m.select("vec_id", F.array_max(scored).alias("b")).select("vec_id", (-F.col("b.back")).alias("entity"), F.col("b.score").alias("score"))
