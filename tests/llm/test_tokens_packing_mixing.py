@@ -111,3 +111,14 @@ def test_mixing_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     a, b = (sorted(r.doc_id or -1 for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 5))
     assert a == b
+
+
+def test_runs_of_spaces_take_linear_time():
+    import time
+
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    counts, tok = tokens.PartCounts(path, tokens.whole_tokens(path)), tokens.load(path)
+    for text in ("a" + " " * 200_000 + "b", " " * 100_000, "x \t " * 20_000 + "y", "a  b   c " * 30_000):
+        began = time.time()
+        assert counts.of_text(text) == len(tok.encode(text, add_special_tokens=False).ids)
+        assert time.time() - began < 20
