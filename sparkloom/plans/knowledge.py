@@ -102,11 +102,11 @@ def unique_links(spark, sf):
 _BAGS = "b AS (SELECT o_custkey, list(struct_pack(k := o_orderkey, p := o_totalprice) ORDER BY o_orderkey) AS xs FROM orders GROUP BY o_custkey)"
 
 
-@query(f"WITH {_BAGS} SELECT o_custkey, len(list_filter(xs, lambda x: x.p > 200000)) AS kept, list_sum(list_transform(xs, lambda x: x.k % 10)) AS mapped FROM b")
+@query(f"WITH {_BAGS} SELECT o_custkey, len(list_filter(xs, lambda x: x.p > 200000)) AS kept, list_sum(list_transform(xs, lambda x: x.k % 10))::BIGINT AS mapped FROM b")
 def nested_filter_map(spark, sf):
     """Nested values filtered by a condition and mapped by an expression, inside the row."""
     b = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))).alias("xs"))
-    return b.select("o_custkey", F.size(F.filter("xs", lambda x: x["p"] > 200000)).cast("long").alias("kept"), F.aggregate(F.transform("xs", lambda x: x["k"] % 10), F.lit(0).cast("long"), lambda s, x: s + x).cast("decimal(38,0)").alias("mapped"))
+    return b.select("o_custkey", F.size(F.filter("xs", lambda x: x["p"] > 200000)).cast("long").alias("kept"), F.aggregate(F.transform("xs", lambda x: x["k"] % 10), F.lit(0).cast("long"), lambda s, x: s + x).alias("mapped"))
 
 
 #: Edges that hold for a while: from src % 10 on, for six ticks.
@@ -331,7 +331,7 @@ def spans(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id", micros("ts").alias("s"), (micros("ts") + F.round(F.col("value") * 60000000).cast("long") * 10).alias("e"))
 
 
-@query(f"WITH {_SPANS}, w AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM i), c AS (SELECT *, SUM(CASE WHEN so_far IS NULL OR s > so_far THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, id) AS chain FROM w) SELECT user_id, chain, COUNT(*) AS n, MIN(s) AS s, MAX(e) AS e FROM c GROUP BY 1, 2")
+@query(f"WITH {_SPANS}, w AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM i), c AS (SELECT *, SUM(CASE WHEN so_far IS NULL OR s > so_far THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, id) AS chain FROM w) SELECT user_id, chain::BIGINT AS chain, COUNT(*) AS n, MIN(s) AS s, MAX(e) AS e FROM c GROUP BY 1, 2")
 def event_chains(spark, sf):
     """Spans of a user that touch or overlap, one after the other, as chains."""
     w = W.partitionBy("user_id").orderBy("s", "id")

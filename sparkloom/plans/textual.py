@@ -69,7 +69,7 @@ def weights(spark, sf):
     return O.term_weights(O.word_rows(b, "item_id", X.word_tokens(F.col("text"))))
 
 
-@query(f"WITH {_WEIGHTS} SELECT id, term, tf, round(tfidf, 6) AS tfidf, round(bm25, 6) AS bm25, 1.0 AS present FROM w")
+@query(f"WITH {_WEIGHTS} SELECT id, term, tf, round(tfidf, 6) AS tfidf, round(bm25, 6) AS bm25, 1.0::DOUBLE AS present FROM w")
 def term_weights(spark, sf):
     return weights(spark, sf).select("id", "term", "tf", F.round("tfidf", 6).alias("tfidf"), F.round("bm25", 6).alias("bm25"), "present")
 
